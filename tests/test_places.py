@@ -13,7 +13,7 @@ from tests.helpers import (
     traces_df,
 )
 from tests.test_log import random_traces
-from traceloom import discover, log_from_events, log_from_traces
+from traceloom import discover, log_from_events, log_from_traces, session
 from traceloom.operators import candidates, checks, compaction
 from traceloom.plans.discovery import funnel, place_listing
 
@@ -44,7 +44,7 @@ def test_candidates(spark, size):
 
 def test_candidates_of_a_large_graph(spark, monkeypatch):
     # The way taken when the graph is too large to broadcast.
-    monkeypatch.setattr(candidates, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 3)
     traces = ["abcd", "acbd", "aabd", "dca"]
     got = rows(candidates.candidates(dfg_of(spark, traces)), "a_set", "b_set")
     assert len(got) == len(set(got))
@@ -97,14 +97,16 @@ def test_log_level_threshold(spark):
 
 
 @pytest.mark.parametrize("limit", [1000, 10])
-@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
-def test_support(spark, limit, broadcast):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_support(spark, monkeypatch, limit, broadcast):
     """All candidates; large cases in pieces or whole; with and without broadcast joins."""
     traces = random_traces()
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    if not broadcast:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
     try:
-        log = log_from_events(events_df(spark, traces), limit)
+        log = log_from_events(events_df(spark, traces), limit, compress=broadcast)
         places = sorted(brute_candidates(traces))
         got = support_dict(checks.support(log, places_df(spark, places)))
     finally:
@@ -197,3 +199,11 @@ def test_names_with_separators(spark):
     run = discover(compact(spark, traces), gamma=1.0)
     assert ("all", ("a.b",), ("+",), 2, 0) in kept(run)
     assert ("all", ("a.b",), ("XOR:1",), 2, 0) in kept(run)
+
+
+def test_wide_places(spark):
+    """More activities than digits: letters take over."""
+    names = [f"x{i:02d}" for i in range(12)]
+    traces = [["a", *names], ["a", "x11"], ["x03", "a"], ["a"], ["b"]]
+    counts = checks.support(compact(spark, traces), places_df(spark, [({"a"}, set(names)), ({"a"}, {"x11"})]))
+    assert support_dict(counts) == brute_support(traces, [(("a",), tuple(names)), (("a",), ("x11",))])

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters for the members of an activity set, `a` first (single characters
-#: that F.char can produce).
+#: Letters for the members of an activity set: digits while there are enough.
+DIGITS = "123456789"
 LETTERS = "".join(chr(c) for c in range(ord("a"), 256))
-ABSENT = ord("a") - 1
+
+
+def alphabet(width: int) -> str:
+    """Letters for activity sets of up to `width` members."""
+    if width > len(LETTERS):
+        raise ValueError(f"a place may have at most {len(LETTERS)} activities")
+    return DIGITS if width <= len(DIGITS) else LETTERS
 
 
 def successions(activities: Column) -> Column:
@@ -20,13 +26,18 @@ def successions(activities: Column) -> Column:
     )
 
 
-def member_letters(activities: Column, members: Column) -> Column:
+def member_letters(activities: Column, members: Column, letters: str) -> Column:
     """The part of a sequence that consists of `members`, one letter per step.
 
-    The first member is written `a`, the second `b`, and so on.
+    The i-th member is written as the i-th of `letters`.
     """
-    letters = F.transform(activities, lambda x: F.char(F.array_position(members, x) + ABSENT))
-    return F.replace(F.array_join(letters, ""), F.lit(chr(ABSENT)), F.lit(""))
+    if letters == DIGITS:
+        steps, absent = F.transform(activities, lambda x: F.array_position(members, x)), "0"
+    else:
+        before = ord(letters[0]) - 1
+        steps = F.transform(activities, lambda x: F.char(F.array_position(members, x) + before))
+        absent = chr(before)
+    return F.replace(F.array_join(steps.cast("array<string>"), ""), F.lit(absent), F.lit(""))
 
 
 def member_signs(members: Column, a_set: Column) -> Column:
@@ -36,9 +47,9 @@ def member_signs(members: Column, a_set: Column) -> Column:
     )
 
 
-def token_signs(letters: Column, signs: Column) -> Column:
+def token_signs(letters: Column, signs: Column, alphabet: str) -> Column:
     """Steps written as letters, read as the puts and takes of a place."""
-    return F.call_function("translate", letters, F.left(F.lit(LETTERS), F.length(signs)), signs)
+    return F.call_function("translate", letters, F.left(F.lit(alphabet), F.length(signs)), signs)
 
 
 def token_walk(signs: Column) -> Column:

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.operators.joins import lookup_join
 from traceloom.schema import PLACE
-from traceloom.session import BROADCAST_ROWS, shuffle_width
+from traceloom.session import spread
 
 #: Largest number of activities on one side of a place (fixed value).
 MAX_SET_SIZE = 3
@@ -25,20 +26,17 @@ def _subsets(neighbours: DataFrame, key: list[str], max_size: int) -> DataFrame:
     """All sets of 1..max_size values of `item` under the same key: `key, items`.
 
     Sets grow one element at a time in name order, by joins of the table with
-    itself. On a table too large to broadcast, the growing side is spread by its
-    elements, so that the sets of one well connected activity are built by many
-    tasks.
+    itself. The growing side is spread over the tasks, or salted by its elements
+    if the table is too large to broadcast, so that the sets of one well
+    connected activity are built by many tasks.
     """
-    salts = 1 if neighbours.count() <= BROADCAST_ROWS else shuffle_width(neighbours.sparkSession)
-    other = neighbours.select(*key, F.col("item").alias("next")).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    grown = neighbours.select(*key, F.array("item").alias("items"))
+    rows = neighbours.count()
+    other = neighbours.select(*key, F.col("item").alias("next"))
+    grown = spread(neighbours).select(*key, F.array("item").alias("items"))
     sets = grown
     for _ in range(1, max_size):
         grown = (
-            grown.withColumn("salt", F.pmod(F.xxhash64("items"), F.lit(salts)).cast("int"))
-            .join(other, [*key, "salt"])
+            lookup_join(grown, other, key, rows)
             .where(F.col("next") > F.element_at("items", -1))
             .select(*key, F.concat("items", F.array("next")).alias("items"))
         )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.functions.sequences import member_letters, member_signs, token_signs, token_walk
+from traceloom.functions.sequences import alphabet, member_letters, member_signs, token_signs, token_walk
 from traceloom.operators.candidates import place_members
 from traceloom.operators.compaction import Log
+from traceloom.operators.joins import lookup_join
 from traceloom.schema import PLACE
 from traceloom.session import materialize, spread
 
@@ -35,38 +38,58 @@ def log_level_check(places: DataFrame, totals: DataFrame, alpha: float) -> DataF
     return log_level_balance(places, totals).where(F.col("gap") <= alpha)
 
 
-def _member_sets(places: DataFrame) -> DataFrame:
-    """The distinct activity sets of the places: `set_id, model_id, members`.
+@dataclass
+class MemberSets:
+    """The distinct activity sets of the places: `set_id, model_id, members`."""
+
+    table: DataFrame
+    rows: int
+    width: int
 
-    Several places have the same activities (a->bc, b->ac, ab->c, ...), so a
+
+def _member_sets(places: DataFrame) -> MemberSets:
+    """Several places have the same activities (a->bc, b->ac, ab->c, ...), so a
     trace is cut down to an activity set once for all of them.
     """
     sets = places.select("model_id", _members()).distinct()
-    return materialize(sets.withColumn("set_id", F.monotonically_increasing_id()), "sets")
+    sets = materialize(sets.withColumn("set_id", F.monotonically_increasing_id()), "sets")
+    size = sets.agg(F.count("*").alias("rows"), F.max(F.size("members")).alias("width")).first()
+    return MemberSets(sets, size["rows"], size["width"] or 1)
 
 
 def _members() -> Column:
-    return F.array_sort(F.array_union("a_set", "b_set")).alias("members")
+    return F.sort_array(F.array_union("a_set", "b_set")).alias("members")
 
 
-def _projections(sequences: DataFrame, sets: DataFrame) -> DataFrame:
+def _projections(sequences: DataFrame, sets: MemberSets, letters: str, whole: bool) -> DataFrame:
     """Sequences cut down to every activity set they have a member of.
 
     An equi join on one activity finds the sets that touch a sequence; of the
-    matches of one set only that on its first member present is kept. There is
-    no shuffle of sequences while the sets are small enough to broadcast.
+    matches of one set only that on its first member present is kept. Sequences
+    are not shuffled unless the sets are too many to broadcast.
+
+    A `whole` trace with a single member of a set is a miss for each place on
+    the set, however often the member occurs; one occurrence stands for all.
     """
-    earlier = F.slice("members", F.lit(1), F.col("i")).alias("earlier")
-    by_member = sets.select("set_id", "model_id", "members", F.posexplode("members").alias("i", "activity"))
-    by_member = by_member.select("set_id", "model_id", "members", "activity", earlier)
-    return (
+    by_member = (
+        sets.table.select("set_id", "model_id", "members", F.posexplode("members").alias("i", "activity"))
+        .withColumn("earlier", F.slice("members", F.lit(1), F.col("i")))
+        .withColumn("later", F.slice("members", F.col("i") + 2, F.size("members")))
+        .withColumn("letter", F.substring(F.lit(letters), F.col("i") + 1, F.lit(1)))
+    )
+    steps = member_letters(F.col("activities"), F.col("members"), letters)
+    if whole:
+        steps = F.when(F.arrays_overlap("later", "present"), steps).otherwise(F.col("letter"))
+    kept = [c for c in sequences.columns if c not in ("model_id", "activities")]
+    occurring = (
         spread(sequences)
         .withColumn("present", F.array_distinct("activities"))
         .withColumn("activity", F.explode("present"))
-        .join(by_member, ["model_id", "activity"])
+    )
+    return (
+        lookup_join(occurring, by_member, ["model_id", "activity"], sets.rows * sets.width)
         .where(~F.arrays_overlap("earlier", "present"))
-        .withColumn("letters", member_letters(F.col("activities"), F.col("members")))
-        .drop("model_id", "activities", "present", "activity", "members", "earlier")
+        .select(*kept, "set_id", steps.alias("steps"))
     )
 
 
@@ -74,23 +97,24 @@ def place_walks(log: Log, places: DataFrame) -> DataFrame:
     """Every way traces run through every place, with the number of traces.
 
     Columns: place, `mult`, token balance `fin` at the end and lowest balance
-    `low`, occurrences `n_a`, `n_b`. Traces that do not touch a place are absent.
-    The two sides of a place are disjoint.
+    `low`, occurrences `n_a`, `n_b` (of traces with one side only: at least 1).
+    Traces that do not touch a place are absent. The sides of a place are disjoint.
     """
     sets = _member_sets(places)
     readings = (
         places.withColumn("members", _members())
-        .join(sets, ["model_id", "members"])
+        .join(sets.table, ["model_id", "members"])
         .select("set_id", *PLACE, member_signs(F.col("members"), F.col("a_set")).alias("signs"))
     )
-    signs = token_signs(F.col("letters"), F.col("signs")).alias("signs")
+    letters = alphabet(sets.width)
+    signs = token_signs(F.col("steps"), F.col("signs"), letters).alias("signs")
     walk = token_walk(F.col("signs")).alias("walk")
     # Long traces that differ elsewhere look alike on a few activities: equal
     # projections are counted together before places read them as puts and
     # takes, and equal runs of those before the balance is computed.
     walks = (
-        _projections(log.variants, sets)
-        .groupBy("set_id", "letters")
+        _projections(log.variants, sets, letters, whole=True)
+        .groupBy("set_id", "steps")
         .agg(F.sum("mult").alias("mult"))
         .join(readings, "set_id")
         .select(*PLACE, signs, "mult")
@@ -106,7 +130,7 @@ def place_walks(log: Log, places: DataFrame) -> DataFrame:
     case = ["case_id", *PLACE]
     before = Window.partitionBy(*case).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     chained = (
-        _projections(log.pieces, sets)
+        _projections(log.pieces, sets, letters, whole=False)
         .join(readings, "set_id")
         .select(*case, "piece", signs)
         .select(*case, "piece", walk)

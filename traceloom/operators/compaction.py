@@ -22,7 +22,8 @@ from traceloom.session import materialize
 class Log:
     """A compact event log.
 
-    variants: `model_id, activities, mult` - whole sequences
+    variants: `model_id, activities, mult` - whole sequences (and `case_id` if
+              they are not compressed)
     pieces:   `model_id, case_id, piece, activities` - cases too large for a
               row, cut in order; None if the log has no such case
     """
@@ -39,7 +40,7 @@ def trace_variants(traces: DataFrame) -> DataFrame:
 def _variants(traces: DataFrame, compress: bool) -> DataFrame:
     if compress:
         return trace_variants(traces)
-    return traces.select("model_id", "activities", F.lit(1).cast("bigint").alias("mult"))
+    return traces.withColumn("mult", F.lit(1).cast("bigint"))
 
 
 def log_from_events(

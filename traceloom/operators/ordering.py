@@ -83,7 +83,8 @@ def rank_by_range(df: DataFrame, group: list[str], order: list[str], rows: int,
 
 
 def _small_positions(events: DataFrame) -> DataFrame:
-    along = Window.partitionBy(*CASE).orderBy("ord")
+    # The case goes first: it tells rows apart early when they are sorted.
+    along = Window.partitionBy(*reversed(CASE)).orderBy("ord")
     return events.select(*CASE, F.row_number().over(along).cast("bigint").alias("pos"), "activity")
 
 
@@ -107,10 +108,10 @@ def traces(events: DataFrame) -> DataFrame:
     The window sorts with spilling and compares the order key natively; the
     array is then sorted by the plain position.
     """
-    steps = F.array_sort(F.collect_list(F.struct("pos", "activity")))
+    steps = F.sort_array(F.collect_list(F.struct("pos", "activity")))
     return (
         _small_positions(events)
-        .groupBy(*CASE)
+        .groupBy(*reversed(CASE))
         .agg(steps.alias("steps"))
         .select(*CASE, F.col("steps.activity").alias("activities"))
     )
@@ -119,7 +120,7 @@ def traces(events: DataFrame) -> DataFrame:
 def pieces(split: SplitEvents, max_case_events: int) -> DataFrame:
     """Oversized cases as consecutive pieces: `model_id, case_id, piece, activities`."""
     piece = F.floor((F.col("pos") - 1) / max_case_events)
-    steps = F.array_sort(F.collect_list(F.struct("pos", "activity")))
+    steps = F.sort_array(F.collect_list(F.struct("pos", "activity")))
     return (
         _large_positions(split, max_case_events)
         .groupBy(*CASE, piece.alias("piece"))
@@ -131,7 +132,7 @@ def pieces(split: SplitEvents, max_case_events: int) -> DataFrame:
 def succession_pairs(events: DataFrame, max_case_events: int | None = MAX_CASE_EVENTS) -> DataFrame:
     """Each event with the one that follows it: `model_id, case_id, pos, src, dst`."""
     split = split_by_size(events, max_case_events)
-    along = Window.partitionBy(*CASE).orderBy("ord")
+    along = Window.partitionBy(*reversed(CASE)).orderBy("ord")
     pairs = split.regular.select(
         *CASE,
         F.row_number().over(along).cast("bigint").alias("pos"),

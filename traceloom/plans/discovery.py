@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.functions.sequences import LETTERS
 from traceloom.operators import checks
 from traceloom.operators.candidates import MAX_SET_SIZE, candidates
 from traceloom.operators.compaction import Log, activity_totals, directly_follows
@@ -42,8 +41,6 @@ def discover(
     A threshold of None skips its filter. `dfg` may be given if it is known,
     e.g. from a file; otherwise it is counted from the log.
     """
-    if 2 * max_set_size > len(LETTERS):
-        raise ValueError(f"max_set_size may be at most {len(LETTERS) // 2}")
     dfg = materialize(directly_follows(log) if dfg is None else dfg, "dfg")
     proposed = materialize(candidates(dfg, max_set_size), "candidates")
     after_log = proposed
