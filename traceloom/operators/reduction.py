@@ -56,21 +56,19 @@ def _independent_series(redexes: DataFrame) -> DataFrame:
 
 
 def _bypass(edges: DataFrame, removed: DataFrame) -> DataFrame:
-    gone = removed.select(*NODE)
-    as_src = gone.select("model_id", F.col("node").alias("src"), F.col("kind").alias("src_kind"))
-    as_dst = gone.select("model_id", F.col("node").alias("dst"), F.col("kind").alias("dst_kind"))
-    shortcuts = removed.select(
-        "model_id",
-        F.col("pred.name").alias("src"),
-        F.col("pred.kind").alias("src_kind"),
-        F.col("succ.name").alias("dst"),
-        F.col("succ.kind").alias("dst_kind"),
-    )
+    """Lead the one edge into each removed gateway on to its one successor."""
+    gone = removed.select("model_id", F.col("node").alias("src"), F.col("kind").alias("src_kind"))
+    onward = removed.select("model_id", F.col("node").alias("dst"), F.col("kind").alias("dst_kind"), "succ")
     return (
-        edges.join(as_src, ["model_id", "src", "src_kind"], "left_anti")
-        .join(as_dst, ["model_id", "dst", "dst_kind"], "left_anti")
-        .select(*EDGE)
-        .unionByName(shortcuts)
+        edges.join(gone, ["model_id", "src", "src_kind"], "left_anti")
+        .join(onward, ["model_id", "dst", "dst_kind"], "left")
+        .select(
+            "model_id",
+            "src",
+            "src_kind",
+            F.coalesce("succ.name", "dst").alias("dst"),
+            F.coalesce("succ.kind", "dst_kind").alias("dst_kind"),
+        )
         .distinct()
     )
 
