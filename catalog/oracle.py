@@ -284,6 +284,86 @@ def _blocks(edges: str) -> list[tuple[str, str]]:
     ]
 
 
+def _reduce_round(edges: str) -> list[tuple[str, str]]:
+    """One series round: of neighbouring series gateways the lowest hash goes."""
+    return _series_round(edges, 1) + [
+        ("ranked", "SELECT *, md5(kind || ':' || node) AS rank FROM ser1"),
+        (
+            "lowest",
+            """
+        SELECT model_id, node, kind, min(rank) AS lo FROM (
+            SELECT model_id, node, kind, rank FROM ranked
+            UNION ALL SELECT model_id, pred, pred_kind, rank FROM ranked
+            UNION ALL SELECT model_id, succ, succ_kind, rank FROM ranked)
+        GROUP BY model_id, node, kind""",
+        ),
+        ("chosen", "SELECT r.* FROM ranked r JOIN lowest USING (model_id, node, kind) WHERE rank = lo"),
+        (
+            "round",
+            f"""
+        SELECT * FROM {edges} e WHERE NOT EXISTS (
+            SELECT 1 FROM chosen c WHERE c.model_id = e.model_id
+               AND ((c.node = e.src AND c.kind = e.src_kind) OR (c.node = e.dst AND c.kind = e.dst_kind)))
+        UNION SELECT model_id, pred, pred_kind, succ, succ_kind FROM chosen""",
+        ),
+    ]
+
+
+def _block_round(edges: str) -> list[tuple[str, str]]:
+    """One block round: of blocks that touch, the one with the smallest k is applied."""
+    return _blocks(edges) + [
+        (
+            "named_blocks",
+            """
+        SELECT b.*, p.kind AS k_kind, p.kind <> b.h_kind AS swap
+        FROM blocks b JOIN preds p ON p.model_id = b.model_id AND p.node = b.k AND p.kind <> 'ACT'""",
+        ),
+        (
+            "inner_nodes",
+            """
+        SELECT model_id, k, unnest(h_nodes) AS node, 'H' AS side FROM named_blocks
+        UNION ALL SELECT model_id, k, unnest(f_nodes), 'F' FROM named_blocks""",
+        ),
+        (
+            "footprint",
+            f"""
+        SELECT model_id, k, node FROM inner_nodes
+        UNION SELECT i.model_id, i.k, e.src FROM inner_nodes i
+            JOIN {edges} e ON e.model_id = i.model_id AND e.dst = i.node WHERE i.side = 'H'
+        UNION SELECT i.model_id, i.k, e.dst FROM inner_nodes i
+            JOIN {edges} e ON e.model_id = i.model_id AND e.src = i.node WHERE i.side = 'F'""",
+        ),
+        (
+            "free_blocks",
+            """
+        SELECT model_id, k FROM footprint
+        JOIN (SELECT model_id, node, min(k) AS lo FROM footprint GROUP BY model_id, node) USING (model_id, node)
+        GROUP BY model_id, k HAVING bool_and(k = lo)""",
+        ),
+        (
+            "renaming",
+            """
+        SELECT i.model_id, i.node,
+               CASE WHEN swap AND side = 'F' THEN h_kind ELSE k_kind END AS new_kind,
+               CASE CASE WHEN swap AND side = 'F' THEN h_kind ELSE k_kind END WHEN 'AND' THEN 'And*:' ELSE 'XOR*:' END
+               || CASE WHEN NOT swap THEN least(list_min(h_nodes), list_min(f_nodes))
+                       WHEN side = 'H' THEN list_min(h_nodes) ELSE list_min(f_nodes) END AS new_node
+        FROM inner_nodes i JOIN free_blocks USING (model_id, k) JOIN named_blocks USING (model_id, k)""",
+        ),
+        (
+            "round",
+            f"""
+        SELECT DISTINCT * FROM (
+            SELECT e.model_id, coalesce(s.new_node, e.src) AS src, coalesce(s.new_kind, e.src_kind) AS src_kind,
+                   coalesce(t.new_node, e.dst) AS dst, coalesce(t.new_kind, e.dst_kind) AS dst_kind
+            FROM {edges} e
+            LEFT JOIN renaming s ON s.model_id = e.model_id AND s.node = e.src AND e.src_kind <> 'ACT'
+            LEFT JOIN renaming t ON t.model_id = e.model_id AND t.node = e.dst AND e.dst_kind <> 'ACT')
+        WHERE src <> dst OR src_kind <> dst_kind""",
+        ),
+    ]
+
+
 def _reach(edges: str) -> list[tuple[str, str]]:
     def walk(frm: str, to: str) -> str:
         return f"""
@@ -462,6 +542,8 @@ ORACLE: dict[str, str] = {
     ),
     "block_redexes": _sql(_expanded("orders") + _blocks("gw"), "SELECT * FROM redexes"),
     "series_reduction": _sql(_reduced("orders"), f"SELECT * FROM gw{ROUNDS}"),
+    "reduce_round": _sql(_expanded("orders") + _reduce_round("gw"), "SELECT * FROM round"),
+    "block_round": _sql(_expanded("orders") + _block_round("gw"), "SELECT * FROM round"),
     "gateway_reach": _sql(
         _expanded("orders") + _reach("gw"),
         "SELECT model_id, node, kind, t AS activity, 'forward' AS direction FROM fwd WHERE t_kind = 'ACT'"

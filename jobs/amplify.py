@@ -20,8 +20,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--copies", type=int, required=True)
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("amplify").getOrCreate()
-    traces = text.read_traces(spark, args.log)
-    copies = text.replicate_log(traces, args.copies)
+    traces = text.read_traces(spark, args.log, line_order=True)
+    copies = text.replicate_log(traces, args.copies, text.LINE_ORDER)
     print("traces read:", traces.count())
     text.write_traces(copies, args.out)
     print("traces written:", spark.read.text(args.out).count())

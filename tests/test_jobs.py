@@ -7,7 +7,7 @@ from traceloom.sources import text
 
 def write_log(spark, lines):
     path = new_path(spark, "log")
-    spark.createDataFrame([(f"{i},{','.join(t)}",) for i, t in enumerate(lines)], "value STRING").write.text(path)
+    spark.createDataFrame([(f"{i},{','.join(t)}",) for i, t in enumerate(lines)], "value STRING").coalesce(1).write.text(path)
     return path
 
 
@@ -15,7 +15,8 @@ def test_log_to_model(spark):
     log = write_log(spark, ["sabe", "sbae", "sabe", "sxe"])
     larger, graph, model, table = (new_path(spark, "job") for _ in range(4))
     amplify.main(["--log", log, "--out", larger, "--copies", "2"])
-    assert text.read_traces(spark, larger).count() == 8
+    copies = {int(r.case_id): "".join(r.activities) for r in text.read_traces(spark, larger).collect()}
+    assert [copies[i] for i in range(8)] == [r.value.replace(",", "")[1:] for r in spark.read.text(log).collect()] * 2
     dfg.main(["--log", larger, "--out", graph])
     arcs = {(r.src, r.dst): r.n for r in text.read_dfg(spark, graph).collect()}
     assert arcs[("s", "a")] == 4 and arcs[("a", "b")] == 4 and arcs[("x", "e")] == 2

@@ -39,7 +39,8 @@ def _independent_series(redexes: DataFrame) -> DataFrame:
     The fixpoint does not depend on the choice. Ranking by a hash lets every
     round remove a good part of a chain, whatever its nodes are called.
     """
-    rank = F.struct(F.xxhash64("node", "kind").alias("h"), F.col("node").alias("n"), F.col("kind").alias("k"))
+    hashed = F.md5(F.concat("kind", F.lit(":"), "node").cast("binary"))
+    rank = F.struct(hashed.alias("h"), F.col("node").alias("n"), F.col("kind").alias("k"))
     ranked = redexes.withColumn("rank", rank)
     claims = F.array(F.struct(F.col("node").alias("name"), "kind"), F.col("pred"), F.col("succ"))
     lowest = (

@@ -16,25 +16,48 @@ from pyspark.sql import functions as F
 from traceloom.operators.gateways import gateway_nodes
 from traceloom.operators.ordering import MAX_CASE_EVENTS, rank_by_range
 from traceloom.schema import ALL, AND
+from traceloom.session import materialize
 
 # Fixed formats.
 ARC_PATTERN = r"\(([^,]*),([0-9]+)\)"
 ARC_FORMAT = "(%s,%d)"
 
 
+# Where a line stands: Spark numbers the lines of a block in reading order.
+LINE_ORDER = ["file", "block", "line"]
+
+
 def parse_traces(lines: DataFrame, model_id: str = ALL) -> DataFrame:
     """Lines (`value`) as `model_id, case_id, activities`. Trailing empty names vanish."""
+    other = [c for c in lines.columns if c != "value"]
     fields = F.split(F.regexp_replace("value", ",+$", ""), ",")
-    return lines.select(F.lit(model_id).alias("model_id"), fields.alias("fields")).select(
+    return lines.select(F.lit(model_id).alias("model_id"), fields.alias("fields"), *other).select(
         "model_id",
         F.element_at("fields", 1).alias("case_id"),
         F.slice("fields", F.lit(2), F.size("fields")).alias("activities"),
+        *other,
     )
 
 
-def read_traces(spark: SparkSession, path: str, partitions: int | None = None, model_id: str = ALL) -> DataFrame:
-    """Read a text log; `partitions` asks for at least that many."""
+def read_traces(
+    spark: SparkSession,
+    path: str,
+    partitions: int | None = None,
+    model_id: str = ALL,
+    line_order: bool = False,
+) -> DataFrame:
+    """Read a text log; `partitions` asks for at least that many.
+
+    `line_order` adds columns (`LINE_ORDER`) that sort the traces as in the files.
+    """
     lines = spark.read.text(path)
+    if line_order:
+        lines = lines.select(
+            "value",
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+        )
     if partitions:
         lines = lines.repartition(partitions)
     return parse_traces(lines, model_id)
@@ -49,14 +72,14 @@ def write_traces(traces: DataFrame, path: str) -> None:
     trace_lines(traces).write.text(path)
 
 
-def replicate_log(traces: DataFrame, copies: int) -> DataFrame:
-    """The log repeated `copies` times, renumbered 0.. in case order.
+def replicate_log(traces: DataFrame, copies: int, order: list[str] | None = None) -> DataFrame:
+    """The log repeated `copies` times, renumbered 0.. along `order` (default: case id).
 
     Copy r of the trace at position p gets the id r * (number of traces) + p.
     """
-    sizes = traces.groupBy("model_id").agg(F.count("*").alias("n_traces"))
+    sizes = materialize(traces.groupBy("model_id").agg(F.count("*").alias("n_traces")), "sizes")
     rows = sizes.agg(F.sum("n_traces")).first()[0] or 0
-    numbered = rank_by_range(traces, ["model_id"], ["case_id"], rows, MAX_CASE_EVENTS)
+    numbered = rank_by_range(traces, ["model_id"], order or ["case_id"], rows, MAX_CASE_EVENTS)
     return (
         numbered.join(sizes, "model_id")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
