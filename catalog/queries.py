@@ -166,10 +166,10 @@ def candidates_all(spark, sf_dir):
 
 
 def log_level_check(spark, sf_dir):
-    events = LOGS["lineitem"](spark, sf_dir)
+    totals = materialize(statistics.activity_counts(LOGS["lineitem"](spark, sf_dir)), "totals")
     proposed = materialize(places.candidates(_dfg(spark, sf_dir, "lineitem")), "candidates")
     alpha = PARAMS["lineitem"]["2f"]["alpha"]
-    return _sets(checks.log_level_check(proposed, statistics.activity_counts(events), alpha))
+    return _sets(checks.log_level_check(proposed, totals, alpha))
 
 
 def trace_level_check(spark, sf_dir):

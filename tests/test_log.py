@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tests.helpers import brute_dfg, events_df, rows, traces_df
-from traceloom import log_from_events, log_from_traces
+from traceloom import log_from_events, log_from_traces, session
 from traceloom.operators import compaction, ordering, statistics
 from traceloom.session import new_path
 from traceloom.sources import text
@@ -105,6 +105,15 @@ def test_successions_of_large_cases(spark, limit):
     assert counts == brute_dfg(traces)
 
 
+def test_many_large_cases(spark, monkeypatch):
+    """More oversized cases than may be broadcast."""
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    traces = random_traces()
+    got = ordering.positions(events_df(spark, traces), 10)
+    expected = [(str(c), i + 1, a) for c, t in enumerate(traces) for i, a in enumerate(t)]
+    assert rows(got, "case_id", "pos", "activity") == sorted(expected, key=repr)
+
+
 @pytest.mark.parametrize("limit", [1000, 10])
 @pytest.mark.parametrize("compress", [True, False])
 @pytest.mark.parametrize("source", ["events", "traces"])

@@ -18,12 +18,12 @@ from traceloom.session import materialize, spread
 def log_level_balance(places: DataFrame, totals: DataFrame) -> DataFrame:
     """`n_a, n_b` over the whole log and their relative `gap` = |n_a - n_b| / (n_a + n_b).
 
-    `gap` is NULL for a place none of whose activities occurs.
+    `gap` is NULL for a place none of whose activities occurs. `totals` is read
+    twice.
     """
     n = F.coalesce(F.col("n"), F.lit(0))
     return (
-        place_members(places)
-        .join(totals, ["model_id", "activity"], "left")
+        lookup_join(place_members(places), totals, ["model_id", "activity"], totals.count(), "left")
         .groupBy(*PLACE)
         .agg(
             F.sum(F.when(F.col("d") > 0, n).otherwise(0)).alias("n_a"),

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from traceloom import session
 
 
-def lookup_join(large: DataFrame, small: DataFrame, keys: list[str], small_rows: int) -> DataFrame:
-    """Inner join that many rows of `large` may enter with the same key.
+def lookup_join(
+    large: DataFrame, small: DataFrame, keys: list[str], small_rows: int, how: str = "inner"
+) -> DataFrame:
+    """Join (inner, or left in any form) where many rows of `large` may have the same key.
 
     `small` is broadcast if its counted size allows it. Otherwise both sides are
     shuffled, with the rows of one key spread over several salts on the large
@@ -17,12 +19,12 @@ def lookup_join(large: DataFrame, small: DataFrame, keys: list[str], small_rows:
     one task.
     """
     if small_rows <= session.BROADCAST_ROWS:
-        return large.join(F.broadcast(small), keys)
+        return large.join(F.broadcast(small), keys, how)
     salts = session.shuffle_width(large.sparkSession)
     salt = F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int")
     every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return (
         large.withColumn("salt", salt)
-        .join(small.withColumn("salt", every_salt), [*keys, "salt"])
+        .join(small.withColumn("salt", every_salt), [*keys, "salt"], how)
         .drop("salt")
     )

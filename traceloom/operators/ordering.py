@@ -13,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceloom.operators.joins import lookup_join
 from traceloom.schema import CASE
-from traceloom.session import BROADCAST_ROWS, materialize, shuffle_width
+from traceloom.session import materialize, shuffle_width
 
 #: A case with more events than this is processed in pieces of this size.
 MAX_CASE_EVENTS = 100_000
@@ -45,11 +46,9 @@ def split_by_size(events: DataFrame, max_case_events: int | None = MAX_CASE_EVEN
     if found["cases"] == 0:
         return SplitEvents(events, None)
     large = materialize(large.select(*CASE), "oversized-cases")
-    if found["cases"] <= BROADCAST_ROWS:
-        large = F.broadcast(large)
     return SplitEvents(
-        events.join(large, CASE, "left_anti"),
-        events.join(large, CASE, "left_semi"),
+        lookup_join(events, large, CASE, found["cases"], "left_anti"),
+        lookup_join(events, large, CASE, found["cases"], "left_semi"),
         found["rows"],
     )
 

@@ -45,7 +45,8 @@ def discover(
     proposed = materialize(candidates(dfg, max_set_size), "candidates")
     after_log = proposed
     if alpha is not None:
-        passed = checks.log_level_check(proposed, activity_totals(log), alpha)
+        totals = materialize(activity_totals(log), "totals")
+        passed = checks.log_level_check(proposed, totals, alpha)
         after_log = materialize(passed.select(*PLACE), "after-log")
     # One pass over the log counts the hits of both trace filters.
     counts = materialize(checks.support(log, after_log), "support")
