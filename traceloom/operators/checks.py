@@ -100,6 +100,7 @@ def place_walks(log: Log, places: DataFrame) -> DataFrame:
     `low`, occurrences `n_a`, `n_b` (of traces with one side only: at least 1).
     Traces that do not touch a place are absent. The sides of a place are disjoint.
     """
+    n_places = places.count()
     sets = _member_sets(places)
     readings = (
         places.withColumn("members", _members())
@@ -112,11 +113,13 @@ def place_walks(log: Log, places: DataFrame) -> DataFrame:
     # Long traces that differ elsewhere look alike on a few activities: equal
     # projections are counted together before places read them as puts and
     # takes, and equal runs of those before the balance is computed.
-    walks = (
+    shared = (
         _projections(log.variants, sets, letters, whole=True)
         .groupBy("set_id", "steps")
         .agg(F.sum("mult").alias("mult"))
-        .join(readings, "set_id")
+    )
+    walks = (
+        lookup_join(shared, readings, ["set_id"], n_places)
         .select(*PLACE, signs, "mult")
         .groupBy(*PLACE, "signs")
         .agg(F.sum("mult").alias("mult"))
@@ -129,9 +132,9 @@ def place_walks(log: Log, places: DataFrame) -> DataFrame:
     # balance of a piece counts from the balance the pieces before it leave.
     case = ["case_id", *PLACE]
     before = Window.partitionBy(*case).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    cut = _projections(log.pieces, sets, letters, whole=False)
     chained = (
-        _projections(log.pieces, sets, letters, whole=False)
-        .join(readings, "set_id")
+        lookup_join(cut, readings, ["set_id"], n_places)
         .select(*case, "piece", signs)
         .select(*case, "piece", walk)
         .withColumn("start", F.coalesce(F.sum("walk.fin").over(before), F.lit(0)))
