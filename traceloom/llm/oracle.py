@@ -38,11 +38,11 @@ OP5_LINE_WINDOWS = r"""
 WITH cut AS (
   SELECT doc_id, text, coalesce(string_split(text, chr(10)), []) AS lines FROM documents),
 windows AS (
-  SELECT doc_id, at, lines[at:at + 2] AS w
-  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS at FROM cut)
-  WHERE regexp_matches(array_to_string(lines[at:at + 2], ''), '[^\x20\x09-\x0D]')),
-ranked AS (SELECT doc_id, at, row_number() OVER (PARTITION BY w ORDER BY doc_id, at) AS n FROM windows),
-gone AS (SELECT doc_id, list_distinct(flatten(list([at, at + 1, at + 2]))) AS ps FROM ranked WHERE n > 1 GROUP BY doc_id)
+  SELECT doc_id, pos, lines[pos:pos + 2] AS w
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS pos FROM cut)
+  WHERE regexp_matches(array_to_string(lines[pos:pos + 2], ''), '[^\x20\x09-\x0D]')),
+ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS n FROM windows),
+gone AS (SELECT doc_id, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS ps FROM ranked WHERE n > 1 GROUP BY doc_id)
 SELECT c.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
   CASE WHEN ps IS NULL THEN text ELSE
     array_to_string(list_filter(lines, lambda l, i: NOT list_contains(ps, i)), chr(10)) END AS text
