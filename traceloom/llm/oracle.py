@@ -49,7 +49,46 @@ SELECT c.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(len(ps), 0
 FROM cut c LEFT JOIN gone g ON c.doc_id = g.doc_id
 """
 
+OP3_HOST_RULES = r"""
+WITH cut AS (
+  SELECT doc_id, source AS host, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)),
+      lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM cut),
+grams AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2]) AS n FROM starts),
+covered AS (
+  SELECT doc_id, count(DISTINCT q) AS n FROM (
+    SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM grams WHERE n > 1) GROUP BY doc_id),
+measured AS (
+  SELECT c.doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words
+  FROM cut c LEFT JOIN covered v ON c.doc_id = v.doc_id),
+hosts AS (
+  SELECT host, count(*) AS docs,
+    [count(*) FILTER (n_words < 50), count(*) FILTER (100 * n_repeat_words > 50 * n_words),
+     count(*) FILTER (10 * n_symbols > n_words), count(*) FILTER (10 * n_dup_lines > 3 * n_lines)] AS failed
+  FROM measured WHERE host IS NOT NULL GROUP BY host),
+rules AS (SELECT host, docs, unnest(failed) AS k, generate_subscripts(failed, 1) AS r FROM hosts),
+moments AS (SELECT r, avg(k / docs) AS m, var_pop(k / docs) AS v, avg(1 / docs) AS few FROM rules GROUP BY r),
+priors AS (
+  SELECT r, m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * few, 1e-9) - 1, 1), 1e6) AS s FROM moments),
+verdicts AS (
+  SELECT host, bool_or((k + m * s) / (docs + s) > 0.5) AS failed
+  FROM rules JOIN priors ON rules.r = priors.r GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  coalesce(failed, false) AS host_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(failed, false) AS kept
+FROM measured m LEFT JOIN verdicts v ON m.host = v.host
+"""
+
 ORACLE: dict[str, str] = {
     "op1_minhash": OP1_MINHASH,
+    "op3_host_rules": OP3_HOST_RULES,
     "op5_line_windows": OP5_LINE_WINDOWS,
 }

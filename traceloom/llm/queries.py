@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from traceloom.llm.decontamination import leaks
+from traceloom.llm.host_rules import judge
 from traceloom.llm.line_windows import drop_repeated_windows
 from traceloom.llm.minhash import near_duplicates
 from traceloom.llm.packing import pack_documents
 from traceloom.llm.toxicity import classify
+from traceloom.llm.url_filter import filter_urls, labelled_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -45,10 +51,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), labelled_urls(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
+    "op3_host_rules": op3_host_rules,
     "op4_decontamination": op4_decontamination,
     "op5_line_windows": op5_line_windows,
     "op7_packing": op7_packing,
+    "op10_url_filter": op10_url_filter,
 }
