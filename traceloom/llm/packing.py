@@ -27,6 +27,13 @@ PLACED = (
 )
 
 
+def public_bpe() -> tuple:
+    """The public byte-level vocabulary, at the same place on every machine: arguments of `encoder`."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}
+
+
 def encoder(path: str, pattern: str, special: dict[str, int]) -> Callable[[str], list[int]]:
     """The byte-level BPE of a file of ranks. Texts that hold a special token get its id."""
     import tiktoken

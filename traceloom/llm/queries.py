@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from traceloom.llm.decontamination import leaks
 from traceloom.llm.host_rules import judge
+from traceloom.llm.licenses import scan
 from traceloom.llm.line_windows import drop_repeated_windows
 from traceloom.llm.minhash import near_duplicates
-from traceloom.llm.packing import pack_documents
+from traceloom.llm.packing import pack_documents, public_bpe
+from traceloom.llm.substrings import drop_repeated
 from traceloom.llm.toxicity import classify
 from traceloom.llm.url_filter import filter_urls, labelled_urls
+from traceloom.llm.warc import archived
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +24,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), size=4, threshold=80)
+    out = near_duplicates(_table(spark, sf_dir, "documents"), size=4, threshold=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,15 +45,21 @@ def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
-def tokenizer() -> tuple:
-    """The public byte-level vocabulary, at the same place on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(_table(spark, sf_dir, "pages"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer())
+    return pack_documents(_table(spark, sf_dir, "documents"), public_bpe())
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_host_rules": op3_host_rules,
     "op4_decontamination": op4_decontamination,
     "op5_line_windows": op5_line_windows,
+    "op6_warc": op6_warc,
     "op7_packing": op7_packing,
+    "op8_substrings": op8_substrings,
+    "op9_licenses": op9_licenses,
     "op10_url_filter": op10_url_filter,
+    "pipeline": corpus_pipeline.run,
 }

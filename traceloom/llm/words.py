@@ -94,17 +94,28 @@ class Words:
 
     def windows(self, hashes: np.ndarray, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first word and hash of every k consecutive words of a document."""
+        at = self.inside(k)
+        return at, rolling(hashes, k, salt)[at]
+
+    def inside(self, k: int) -> np.ndarray:
+        """First words of the runs of k words that lie in one document."""
         if len(self) < k:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
+            return np.empty(0, np.int64)
         inside = np.ones(len(self) - k + 1, bool)
-        for cut in range(1, k):  # a window that starts `cut` words before a document's end
+        for cut in range(1, k):  # a run that starts `cut` words before a document's end
             ends = self.first[1:] - cut
             inside[ends[(ends >= 0) & (ends < len(inside))]] = False
-        sums = np.zeros(len(self) + 1, np.uint64)
-        salted = mix(hashes ^ np.uint64(salt)) if salt else hashes
-        np.cumsum(salted * powers(_ROLL, len(self)), out=sums[1:])
-        at = np.flatnonzero(inside)
-        return at, mix((sums[at + k] - sums[at]) * powers(_UNROLL, len(self))[at])
+        return np.flatnonzero(inside)
+
+
+def rolling(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """Hash of every k consecutive words, across documents too."""
+    if len(hashes) < k:
+        return np.empty(0, np.uint64)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    salted = mix(hashes ^ np.uint64(salt)) if salt else hashes
+    np.cumsum(salted * powers(_ROLL, len(hashes)), out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * powers(_UNROLL, len(hashes))[: len(hashes) - k + 1])
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
