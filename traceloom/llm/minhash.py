@@ -6,10 +6,10 @@ of `COLLECTION` hashes, each the combination of `ROWS` minima. So
 `2 * COLLECTION * ROWS` minhash computations. With 10 and 3, two documents of
 similarity 0.8 share a table with probability (1 - (1 - 0.8^3)^10)^2 = 0.998.
 
-Every bucket first compares its members with its smallest id, on full shingle
-sets. What is still in different components of a bucket is then compared pair
-by pair; a bucket of many members is divided by a third collection for that.
-Equal sets are one class from the start, so copies never meet in pairs.
+Equal sets are one class from the start, so copies never meet in pairs. Every
+document is compared, on full shingle sets, with the smallest ids of its buckets.
+Buckets that still hold several components go on to a join on their members'
+rarest shingles, which finds all their pairs without forming them in the bucket.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm import words as W
@@ -26,24 +26,28 @@ from traceloom.session import materialize
 
 COLLECTION = 10
 ROWS = 3
-#: A bucket of more members than this is divided before its pairs are compared.
-DENSE = 32
 #: A pair whose minima agree less often than this isn't compared on full sets:
 #: 60 minima of a pair of similarity 0.8 agree 30 times or less in 10^-7 of cases.
 LEAST_ESTIMATE = 0.5
+#: Ids whose texts are sought are broadcast up to this number (8 bytes each), else shuffled.
+BROADCAST_IDS = 2_000_000
 
 _rng = np.random.default_rng(77)
-_FLIP = _rng.integers(0, 1 << 32, 3 * COLLECTION * ROWS, dtype=np.uint32)
-_TIMES = _rng.integers(0, 1 << 31, 3 * COLLECTION * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = _rng.integers(0, 1 << 32, 2 * COLLECTION * ROWS, dtype=np.uint32)
+_TIMES = _rng.integers(0, 1 << 31, 2 * COLLECTION * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _JOIN = _rng.integers(0, 1 << 62, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 1 << 14
 
 SIGNATURES = (
-    "doc_id BIGINT, n_shingles BIGINT, h1 BIGINT, h2 BIGINT, "
-    "a ARRAY<BIGINT>, b ARRAY<BIGINT>, c ARRAY<BIGINT>, minima ARRAY<INT>"
+    "doc_id BIGINT, text_hash BIGINT, n_shingles BIGINT, h1 BIGINT, h2 BIGINT, "
+    "a ARRAY<BIGINT>, b ARRAY<BIGINT>, minima ARRAY<INT>"
 )
 
 
+def text_hash(text: str = "text") -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted set of hashed shingles of each text."""
     for _, _, data, offsets in W.blocks(column):
@@ -92,20 +96,21 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     sums[i] = s.sum(dtype=np.uint64), W.mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
                     least[i] = minima(s)
             bands = W.mix((least.reshape(n, -1, ROWS).astype(np.uint64) * _JOIN).sum(axis=2, dtype=np.uint64))
-            a, b, c = (W.signed(x) for x in np.split(bands, 3, axis=1))
+            a, b = (W.signed(x) for x in np.split(bands, 2, axis=1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(counts),
                     pa.array(W.signed(sums[:, 0])),
                     pa.array(W.signed(sums[:, 1])),
-                    *(_arrays(x, pa.int64()) for x in (a, b, c)),
-                    _arrays(least[:, : 2 * COLLECTION * ROWS].copy().view(np.int32), pa.int32()),
+                    *(_arrays(x, pa.int64()) for x in (a, b)),
+                    _arrays(least.view(np.int32), pa.int32()),
                 ],
-                ["doc_id", "n_shingles", "h1", "h2", "a", "b", "c", "minima"],
+                ["doc_id", "text_hash", "n_shingles", "h1", "h2", "a", "b", "minima"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNATURES)
+    return docs.select("doc_id", "text", text_hash()).mapInArrow(run, SIGNATURES)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -143,6 +148,56 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     )
 
 
+def _exploded(docs: DataFrame, size: int) -> DataFrame:
+    """`rep, n, shingle`: every hashed shingle of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, s in enumerate(shingle_sets(batch.column(1), size)):
+                rep = batch.column(0)[i].as_py()
+                for low in range(0, len(s), _STEP):
+                    part = s[low : low + _STEP]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(part), rep, np.int64)),
+                            pa.array(np.full(len(part), len(s), np.int64)),
+                            pa.array(W.signed(part)),
+                        ],
+                        ["rep", "n", "shingle"],
+                    )
+
+    return docs.mapInArrow(run, "rep BIGINT, n BIGINT, shingle BIGINT").distinct()
+
+
+def _share_rare_shingles(shingles: DataFrame, placed: DataFrame, threshold: int) -> DataFrame:
+    """`x, y` of different components that may reach the threshold; none that does is left out.
+
+    Shingles are put in one order, rare ones first. Of two sets that are similar
+    enough, the first of each set's (1 - threshold) part hold a common shingle,
+    and so many must follow it in both as the overlap still needs.
+    """
+    often = shingles.groupBy("shingle").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("rep", "n").orderBy("often", "shingle")
+    first = (
+        shingles.join(often, "shingle")
+        .withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1)
+        .join(placed, "rep")
+        .where("often > 1")
+    )
+    first = materialize(first.select("shingle", "rep", "component", "n", "place"), "rare")
+    p = first.select("shingle", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    q = first.select("shingle", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    ahead = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + 1
+    return (
+        p.join(q, "shingle")
+        .where("x < y AND cx <> cy")
+        .where(ahead * (100 + threshold) >= (F.col("nx") + F.col("ny")) * threshold)
+        .select("x", "y")
+        .distinct()
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """`node, component`: the smallest node reachable over edges `x, y`.
 
@@ -180,13 +235,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
-    """`doc_id, n_shingles, component_id, kept` of each row of `doc_id, text`.
+    """`doc_id, n_shingles, component_id, kept, text_hash` of each row of `doc_id, text`.
 
     `size` words (lower-cased A-Z, cut at white space) are a shingle; a text of
     fewer words is one shingle, one without words (or null) has none and is
     linked with nothing. Documents are linked from `threshold` percent of
-    intersection over union. Rows with equal doc_id are one document with
-    several texts: they share its component. A row without a doc_id is linked
+    intersection over union. Rows are judged by
+    their text: those of one doc_id with several texts each have their text's
+    component, and equal rows have equal verdicts. A row without a doc_id is linked
     with nothing: its component is null and it is kept.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -194,14 +250,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     classes = materialize(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("h1", "h2", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first(F.struct("a", "b", "c", "minima")).alias("s"))
+        .agg(F.min("doc_id").alias("rep"), F.first(F.struct("a", "b", "minima")).alias("s"))
         .select("h1", "h2", "rep", "n_shingles", "s.*"),
         "classes",
     )
     tables = (
-        classes.select("rep", "n_shingles", "b", "c", F.posexplode("a").alias("i", "u"))
-        .select("rep", "n_shingles", "c", "i", "u", F.posexplode("b").alias("j", "v"))
-        .select("rep", "n_shingles", "c", F.xxhash64("i", "u", "j", "v").alias("key"))
+        classes.select("rep", "b", F.posexplode("a").alias("i", "u"))
+        .select("rep", "i", "u", F.posexplode("b").alias("j", "v"))
+        .select("rep", F.xxhash64("i", "u", "j", "v").alias("key"))
     )
     hubs = (
         tables.groupBy("key")
@@ -210,7 +266,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
         .select("key", "hub")
     )
     members = materialize(
-        tables.select("rep", "key").join(hubs, "key").select("key", "hub", "rep"), "buckets"
+        tables.join(hubs, "key").select("key", "hub", "rep"), "buckets"
     )
     minima_of = classes.select("rep", "n_shingles", "minima")
     agreeing = F.aggregate(
@@ -229,70 +285,64 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
             .distinct()
         )
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        ids = materialize(ids.distinct(), "wanted")
+        return plain.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-        texts = plain.join(wanted, "doc_id", "left_semi")
-        return materialize(_verified(pairs, _sets(texts, size), threshold), name)
-
-    starred = members.where("rep <> hub").select(F.col("hub").alias("x"), F.col("rep").alias("y")).distinct()
-    stars = confirmed(materialize(likely(starred), "stars"), "edges")
-    labels = components(stars)
-
-    # What a bucket's smallest id did not join: pairs of two further members.
-    placed = (
-        members.where("rep <> hub")
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y"))
+        return materialize(_verified(pairs, _sets(texts_of(wanted), size), threshold), name)
+
+    # First each document meets the smallest id it shares most buckets with. Then
+    # only smallest ids of other components remain to be met.
+    def joined(links: DataFrame, labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links and labels after the true ones of `pairs`."""
+        pairs = materialize(likely(pairs), "pairs")
+        more = links if pairs.isEmpty() else confirmed(pairs, "edges")
+        if more is links or more.isEmpty():
+            return links, labels
+        links = links.union(more)
+        return links, components(links)
+
+    starred = materialize(
+        members.where("rep <> hub").groupBy("rep", "hub").count().withColumnRenamed("count", "shared"), "starred"
     )
-    opened = (
-        placed.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
-        .where("low < high")
-        .select("key", "members")
+    best = starred.groupBy("rep").agg(F.max(F.struct("shared", (-F.col("hub")).alias("hub"))).alias("m"))
+    links = confirmed(materialize(likely(best.select((-F.col("m.hub")).alias("x"), F.col("rep").alias("y"))), "best"), "edges")
+    labels = components(links)
+    apart = (
+        starred.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("cr")), "rep", "left")
+        .join(labels.select(F.col("node").alias("hub"), F.col("component").alias("ch")), "hub", "left")
+        .where(F.coalesce("cr", "rep") != F.coalesce("ch", "hub"))
+        .join(best.select("rep", (-F.col("m.hub")).alias("hub")), ["rep", "hub"], "left_anti")
     )
-    third = F.transform("c", lambda w, k: F.xxhash64(F.col("key"), k, w))
-    rest = materialize(
-        placed.join(opened, "key")
-        .join(classes.select("rep", "c", "n_shingles"), "rep")
-        .select(
-            "rep",
-            "component",
-            F.col("n_shingles").alias("n"),
-            F.explode(F.when(F.col("members") > DENSE, third).otherwise(F.array("key"))).alias("key"),
-        )
-        .withColumn("bin", F.floor(F.log("n") / F.log(F.lit(100 / threshold)))),
-        "open",
-    )
-    p = rest.select("key", "bin", F.col("rep").alias("p"), F.col("component").alias("cp"), F.col("n").alias("np"))
-    q = rest.select(
-        "key",
-        F.explode(F.array("bin", F.col("bin") + 1)).alias("bin"),
-        F.col("rep").alias("q"),
-        F.col("component").alias("cq"),
-        F.col("n").alias("nq"),
+    links, labels = joined(links, labels, apart.select(F.col("hub").alias("x"), F.col("rep").alias("y")))
+
+    # What the smallest ids did not join: further members of buckets still open.
+    placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", "hub", "rep", F.coalesce("component", "rep").alias("component")
     )
-    near = (F.col("np") * threshold <= F.col("nq") * 100) & (F.col("nq") * threshold <= F.col("np") * 100)
-    further = (
-        p.join(q, ["key", "bin"])
-        .where((F.col("cp") != F.col("cq")) & near & ((F.col("p") < F.col("q")) | (F.col("np") > F.col("nq"))))
-        .select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
-        .distinct()
+    opened = (
+        placed.where("rep <> hub")
+        .groupBy("key")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low < high")
+        .select("key")
     )
-    further = materialize(likely(further), "further")
-    if not further.isEmpty():
-        more = confirmed(further, "edges")
-        if not more.isEmpty():
-            labels = components(stars.union(more))
+    rest = materialize(placed.join(opened, "key", "left_semi").select("rep", "component").distinct(), "open")
+    further = _share_rare_shingles(_exploded(texts_of(rest.select(F.col("rep").alias("doc_id"))), size), rest, threshold)
+    links, labels = joined(links, labels, further)
 
     of_class = classes.select("h1", "h2", F.col("n_shingles").alias("n"), "rep")
     same = (signed.h1 == of_class.h1) & (signed.h2 == of_class.h2) & (signed.n_shingles == of_class.n)
-    named = signed.join(of_class, same, "left").select("doc_id", "n_shingles", "rep")
+    named = signed.join(of_class, same, "left").select("doc_id", "text_hash", "n_shingles", "rep")
     found = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")
+        "doc_id", "text_hash", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")
     )
     return found.select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+        "text_hash",
     )
