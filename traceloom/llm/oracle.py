@@ -87,8 +87,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM measured m LEFT JOIN verdicts v ON m.host = v.host
 """
 
+OP6_WARC = r"""
+WITH records AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS latest
+  FROM pages),
+coded AS (
+  SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(hex, CAST(i * 5 + 1 AS BIGINT), 5))::BIGINT) AS parts,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS letters
+  FROM records)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(parts, lambda c:
+    letters[(c // 32768) % 32 + 1] || letters[(c // 1024) % 32 + 1] || letters[(c // 32) % 32 + 1] || letters[c % 32 + 1]),
+    '') AS payload_digest,
+  CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> latest THEN latest END AS refers_to
+FROM coded
+"""
+
+OP8_SUBSTRINGS = r"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM cut)),
+ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM windows),
+gone AS (SELECT DISTINCT doc_id, p + unnest(range(0, 20)) AS q FROM ranked WHERE n > 1),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS q FROM cut),
+rest AS (
+  SELECT words.doc_id, count(gone.q) AS n, string_agg(x, ' ' ORDER BY words.q) FILTER (gone.q IS NULL) AS t
+  FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.q = gone.q GROUP BY words.doc_id)
+SELECT c.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM cut c LEFT JOIN rest r ON c.doc_id = r.doc_id
+"""
+
 ORACLE: dict[str, str] = {
     "op1_minhash": OP1_MINHASH,
     "op3_host_rules": OP3_HOST_RULES,
     "op5_line_windows": OP5_LINE_WINDOWS,
+    "op6_warc": OP6_WARC,
+    "op8_substrings": OP8_SUBSTRINGS,
 }

@@ -1,9 +1,10 @@
 """Repeated word windows across documents, by super-k-mer partitioning.
 
 A window's minimiser is the smallest hash of its word groups. Consecutive
-windows that share it form a super-k-mer. A minimiser that occurs once has no
-repeated window, so only super-k-mers of others are packed: as one string of
-their words, to the bucket of the minimiser. There their windows are sorted, and
+windows that share it form a super-k-mer. A minimiser that has one super-k-mer,
+and one in which no word group comes again, has no repeated window. Super-k-mers
+of all others are packed: as one string of their words, to the bucket of the
+minimiser. There their windows are sorted, and
 all but the first place of each is marked.
 
 A minimiser with more than `HOT` super-k-mers would fill a bucket; its windows
@@ -33,7 +34,10 @@ _SALT = 0x6A09E667F3BCC909
 
 
 def _super_kmers(docs: DataFrame) -> DataFrame:
-    """`minimiser, id, text_hash, start, n`: runs of n windows from word `start`."""
+    """`minimiser, id, text_hash, start, n, again`: runs of n windows from word `start`.
+
+    `again` says that a word group comes again within a window's length.
+    """
     groups = WINDOW - GROUP + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +47,7 @@ def _super_kmers(docs: DataFrame) -> DataFrame:
                 at = words.inside(WINDOW)
                 if not len(at):
                     continue
-                least = W.rolling(words.hashes(), GROUP)
+                least = grams = W.rolling(words.hashes(), GROUP)
                 width = 1
                 while 2 * width <= groups:
                     least = np.minimum(least[:-width], least[width:])
@@ -52,6 +56,11 @@ def _super_kmers(docs: DataFrame) -> DataFrame:
                 doc = np.searchsorted(words.first, at, "right") - 1
                 new = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])))
                 n = np.diff(np.append(new, len(at)))
+                again = np.zeros(len(grams) + 1, np.int64)
+                for d in range(1, min(groups, len(grams) - 1) + 1):
+                    again[1 : len(grams) - d + 1] |= grams[:-d] == grams[d:]
+                again = np.cumsum(again)
+                again = again[at[new] + n + groups - 1] > again[at[new]]
                 row = pa.array(low + doc[new])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -60,12 +69,13 @@ def _super_kmers(docs: DataFrame) -> DataFrame:
                         batch.column(1).take(row),
                         pa.array((at[new] - words.first[doc[new]]).astype(np.int32)),
                         pa.array(n.astype(np.int32)),
+                        pa.array(again),
                     ],
-                    ["minimiser", "id", "text_hash", "start", "n"],
+                    ["minimiser", "id", "text_hash", "start", "n", "again"],
                 )
 
     return docs.select("id", "text_hash", "text").mapInArrow(
-        run, "minimiser BIGINT, id BIGINT, text_hash BIGINT, start INT, n INT"
+        run, "minimiser BIGINT, id BIGINT, text_hash BIGINT, start INT, n INT, again BOOLEAN"
     )
 
 
@@ -168,7 +178,8 @@ def _singly(packed: DataFrame) -> DataFrame:
 def repeated_words(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """`id, text_hash, low, high` intervals of words to remove, of `doc_id, id, text_hash, text`."""
     supers = materialize(_super_kmers(docs), "supers")
-    often = supers.groupBy("minimiser").agg(F.count("*").alias("often")).where("often > 1")
+    often = supers.groupBy("minimiser").agg(F.count("*").alias("often"), F.max("again").alias("again"))
+    often = often.where("often > 1 OR again").select("minimiser", "often")
     often = materialize(often, "often")
     few, many = often.where(F.col("often") <= hot), often.where(F.col("often") > hot)
     wanted = supers.join(few, "minimiser", "left_semi")
