@@ -18,8 +18,8 @@ PARAMS = {
     },
     "lineitem": {
         "0f": {"gamma": 0.08},
-        "1f": {"gamma": 0.08, "beta": 0.16},
-        "2f": {"gamma": 0.08, "beta": 0.16, "alpha": 0.35},
+        "1f": {"gamma": 0.08, "beta": 0.174},
+        "2f": {"gamma": 0.08, "beta": 0.174, "alpha": 0.3},
     },
 }
 

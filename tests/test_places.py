@@ -44,7 +44,7 @@ def test_candidates(spark, size):
 
 def test_candidates_of_a_large_graph(spark, monkeypatch):
     # The way taken when the graph is too large to broadcast.
-    monkeypatch.setattr(session, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 600)
     traces = ["abcd", "acbd", "aabd", "dca"]
     got = rows(candidates.candidates(dfg_of(spark, traces)), "a_set", "b_set")
     assert len(got) == len(set(got))
@@ -104,7 +104,7 @@ def test_support(spark, monkeypatch, limit, broadcast):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     if not broadcast:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     try:
         log = log_from_events(events_df(spark, traces), limit, compress=broadcast)
         places = sorted(brute_candidates(traces))

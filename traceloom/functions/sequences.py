@@ -73,7 +73,8 @@ def token_walk(signs: Column) -> Column:
 
 
 def set_label(members: Column) -> Column:
-    return F.concat_ws("+", members)
+    """Names joined by `+`. Separators inside names are escaped, so labels tell sets apart."""
+    return F.concat_ws("+", F.transform(members, lambda x: F.regexp_replace(x, r"([\\+>])", r"\\$1")))
 
 
 def place_label(a_set: Column, b_set: Column) -> Column:

@@ -71,15 +71,13 @@ def _projections(sequences: DataFrame, sets: MemberSets, letters: str, whole: bo
     A `whole` trace with a single member of a set is a miss for each place on
     the set, however often the member occurs; one occurrence stands for all.
     """
-    by_member = (
-        sets.table.select("set_id", "model_id", "members", F.posexplode("members").alias("i", "activity"))
-        .withColumn("earlier", F.slice("members", F.lit(1), F.col("i")))
-        .withColumn("later", F.slice("members", F.col("i") + 2, F.size("members")))
-        .withColumn("letter", F.substring(F.lit(letters), F.col("i") + 1, F.lit(1)))
-    )
+    by_member = sets.table.select("set_id", "model_id", "members", F.posexplode("members").alias("i", "activity"))
+    earlier = F.slice("members", F.lit(1), F.col("i"))
+    later = F.slice("members", F.col("i") + 2, F.size("members"))
+    letter = F.substring(F.lit(letters), F.col("i") + 1, F.lit(1))
     steps = member_letters(F.col("activities"), F.col("members"), letters)
     if whole:
-        steps = F.when(F.arrays_overlap("later", "present"), steps).otherwise(F.col("letter"))
+        steps = F.when(F.arrays_overlap(later, "present"), steps).otherwise(letter)
     kept = [c for c in sequences.columns if c not in ("model_id", "activities")]
     occurring = (
         spread(sequences)
@@ -87,8 +85,10 @@ def _projections(sequences: DataFrame, sets: MemberSets, letters: str, whole: bo
         .withColumn("activity", F.explode("present"))
     )
     return (
-        lookup_join(occurring, by_member, ["model_id", "activity"], sets.rows * sets.width)
-        .where(~F.arrays_overlap("earlier", "present"))
+        lookup_join(
+            occurring, by_member, ["model_id", "activity"], sets.rows * sets.width, row_bytes=100 + 40 * sets.width
+        )
+        .where(~F.arrays_overlap(earlier, "present"))
         .select(*kept, "set_id", steps.alias("steps"))
     )
 

@@ -61,7 +61,16 @@ def log_from_traces(
     max_case_events: int = MAX_CASE_EVENTS,
     compress: bool = True,
 ) -> Log:
-    """Compact `model_id, case_id, activities` rows, such as a text log."""
+    """Compact `model_id, case_id, activities` rows, such as a text log.
+
+    Missing names and models count as empty ones, as in `event_log`.
+    """
+    traces = traces.withColumns(
+        {
+            "model_id": F.coalesce("model_id", F.lit("")),
+            "activities": F.transform("activities", lambda x: F.coalesce(x, F.lit(""))),
+        }
+    )
     large = F.size("activities") > max_case_events
     variants = materialize(_variants(traces.where(~large), compress), "variants")
     oversized = traces.where(large)
@@ -94,15 +103,18 @@ def directly_follows(log: Log) -> DataFrame:
         "model_id", "mult", F.explode(successions(F.col("activities"))).alias("pair")
     )
     if log.pieces is not None:
-        # A piece is joined to its successor by that one's first activity.
+        # Successions inside a piece need no shuffle. From one piece to the next
+        # only its last and first activity are brought together.
+        one = F.lit(1).cast("bigint").alias("mult")
+        inside = log.pieces.select("model_id", one, F.explode(successions(F.col("activities"))).alias("pair"))
         along = Window.partitionBy(*CASE).orderBy("piece")
-        following = F.lead(F.slice("activities", 1, 1)).over(along)
-        joined = F.concat("activities", F.coalesce(following, F.array().cast("array<string>")))
-        pairs = pairs.unionByName(
-            log.pieces.select("model_id", joined.alias("activities")).select(
-                "model_id",
-                F.lit(1).cast("bigint").alias("mult"),
-                F.explode(successions(F.col("activities"))).alias("pair"),
-            )
+        ends = log.pieces.select(
+            *CASE, "piece", F.get("activities", F.lit(0)).alias("first"), F.element_at("activities", -1).alias("src")
+        )
+        across = (
+            ends.withColumn("dst", F.lead("first").over(along))
+            .where("dst IS NOT NULL")
+            .select("model_id", one, F.struct("src", "dst").alias("pair"))
         )
+        pairs = pairs.unionByName(inside).unionByName(across)
     return pairs.groupBy("model_id", F.col("pair.src"), F.col("pair.dst")).agg(F.sum("mult").alias("n"))

@@ -9,22 +9,20 @@ from traceloom import session
 
 
 def lookup_join(
-    large: DataFrame, small: DataFrame, keys: list[str], small_rows: int, how: str = "inner"
+    large: DataFrame,
+    small: DataFrame,
+    keys: list[str],
+    small_rows: int,
+    how: str = "inner",
+    row_bytes: int = 200,
 ) -> DataFrame:
     """Join (inner, or left in any form) where many rows of `large` may have the same key.
 
-    `small` is broadcast if its counted size allows it. Otherwise both sides are
-    shuffled, with the rows of one key spread over several salts on the large
-    side and repeated for each salt on the other, so that no key is the work of
-    one task.
+    `small` is broadcast if its counted rows of about `row_bytes` bytes stay
+    below the bound. Otherwise both sides are shuffled once and neither is
+    repeated: a partition that a hot key fills is split when the sizes are known
+    (`spark.sql.adaptive.skewJoin`).
     """
-    if small_rows <= session.BROADCAST_ROWS:
+    if small_rows * row_bytes <= session.BROADCAST_BYTES:
         return large.join(F.broadcast(small), keys, how)
-    salts = session.shuffle_width(large.sparkSession)
-    salt = F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int")
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return (
-        large.withColumn("salt", salt)
-        .join(small.withColumn("salt", every_salt), [*keys, "salt"], how)
-        .drop("salt")
-    )
+    return large.join(small.hint("merge"), keys, how)

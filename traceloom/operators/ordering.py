@@ -20,9 +20,6 @@ from traceloom.session import materialize, shuffle_width
 #: A case with more events than this is processed in pieces of this size.
 MAX_CASE_EVENTS = 100_000
 
-#: Upper bound for range partitions; each is sorted with spilling.
-MAX_RANGE_PARTITIONS = 10_000
-
 
 @dataclass
 class SplitEvents:
@@ -59,7 +56,7 @@ def rank_by_range(df: DataFrame, group: list[str], order: list[str], rows: int,
     `df` must have a total order by `group + order`.
     """
     spark = df.sparkSession
-    parts = max(shuffle_width(spark), min(MAX_RANGE_PARTITIONS, -(-rows // per_task)))
+    parts = max(shuffle_width(spark), -(-rows // per_task))
     # Range bounds are sampled, so the partition number is written down before
     # it is used as a key.
     ranged = materialize(

@@ -13,9 +13,8 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Largest number of rows we ask Spark to broadcast by hint. Rows are ids, names
-#: and small sets of names (100 to 200 bytes), so this stays below 20 MB.
-BROADCAST_ROWS = 100_000
+#: Most bytes we ask Spark to broadcast by hint: counted rows times their width.
+BROADCAST_BYTES = 20_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -21,14 +21,23 @@ def event_log(
 
     `order` must be a total order inside a case. `model` assigns each case to
     one of several models discovered in the same run (default: one model).
+
+    An event without an activity stays in its case, under the empty name; a case
+    without a model belongs to the model of the empty name. Events without a
+    case have no place in any order and are left out: see `events_without_case`.
     """
 
     def text(c: Column | str) -> Column:
         return (F.col(c) if isinstance(c, str) else c).cast("string")
 
-    return table.select(
-        (F.lit(ALL) if model is None else text(model)).alias("model_id"),
+    return table.where(text(case).isNotNull()).select(
+        (F.lit(ALL) if model is None else F.coalesce(text(model), F.lit(""))).alias("model_id"),
         text(case).alias("case_id"),
         F.struct(*order).alias("ord"),
-        text(activity).alias("activity"),
+        F.coalesce(text(activity), F.lit("")).alias("activity"),
     )
+
+
+def events_without_case(table: DataFrame, case: Column | str) -> int:
+    """Number of events that `event_log` leaves out."""
+    return table.where((F.col(case) if isinstance(case, str) else case).isNull()).count()

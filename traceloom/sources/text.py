@@ -48,8 +48,13 @@ def read_traces(
 ) -> DataFrame:
     """Read a text log; `partitions` asks for at least that many.
 
+    Large files are split further when read. Only a log too small for that many
+    splits is dealt out anew.
+
     `line_order` adds columns (`LINE_ORDER`) that sort the traces as in the files.
     """
+    if partitions:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(partitions))
     lines = spark.read.text(path)
     if line_order:
         lines = lines.select(
@@ -58,7 +63,7 @@ def read_traces(
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("line"),
         )
-    if partitions:
+    if partitions and lines.rdd.getNumPartitions() < partitions:
         lines = lines.repartition(partitions)
     return parse_traces(lines, model_id)
 
@@ -76,13 +81,16 @@ def replicate_log(traces: DataFrame, copies: int, order: list[str] | None = None
     """The log repeated `copies` times, renumbered 0.. along `order` (default: case id).
 
     Copy r of the trace at position p gets the id r * (number of traces) + p.
+    No copies make an empty log.
     """
+    if copies < 0:
+        raise ValueError("copies can't be negative")
     sizes = materialize(traces.groupBy("model_id").agg(F.count("*").alias("n_traces")), "sizes")
     rows = sizes.agg(F.sum("n_traces")).first()[0] or 0
     numbered = rank_by_range(traces, ["model_id"], order or ["case_id"], rows, MAX_CASE_EVENTS)
     return (
         numbered.join(sizes, "model_id")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        .withColumn("copy", F.explode(F.slice(F.sequence(F.lit(0), F.lit(copies)), 1, copies)))
         .select(
             "model_id",
             (F.col("copy") * F.col("n_traces") + F.col("pos") - 1).cast("string").alias("case_id"),
@@ -102,7 +110,9 @@ def adjacency_lines(dfg: DataFrame) -> DataFrame:
 
 
 def write_dfg(dfg: DataFrame, path: str) -> None:
-    """Write the graph of one model as text."""
+    """Write the graph of one model as text; the form has no place for several."""
+    if dfg.select("model_id").distinct().limit(2).count() > 1:
+        raise ValueError("the text form holds one model: choose one by model_id")
     adjacency_lines(dfg).select("value").write.text(path)
 
 
