@@ -35,6 +35,8 @@ BLOCK = 200
 AT_ONCE = 32
 #: Directions sought beyond the number of passages in a block.
 EXTRA = 8
+#: Runs of words scored at a time.
+RUNS = 2048
 NEAR = 0.35
 #: Share of a passage's words, in order, that confirms a copy.
 COPY = 0.7
@@ -197,14 +199,48 @@ def _holds(span: np.ndarray, answer: np.ndarray) -> bool:
     return n > 0 and bool(np.all([span[i : n + i] == x for i, x in enumerate(answer)], axis=0).any())
 
 
+def _norm(buckets: np.ndarray, idf: np.ndarray) -> float:
+    features, tf = np.unique(buckets, return_counts=True)
+    return float(np.linalg.norm(tf * idf[features]))
+
+
+def _near(space: Space, scaled: np.ndarray, place: np.ndarray, starts: np.ndarray, joins: np.ndarray, energy: np.ndarray):
+    """Windows and passages whose cosine may reach `NEAR`, and their dot products.
+
+    `place` has each word's row in `scaled` or -1, `starts` the first word of
+    each run (and the end), `joins` whether the next run is of the same text.
+    The dot product is a sum over words; `energy`, the sum of squared weights of
+    a window's words, is at most its squared length (equal, if no word repeats).
+    """
+    words = np.flatnonzero(place >= 0)
+    bounds = np.searchsorted(words, starts)
+    for low in range(0, len(joins), RUNS):
+        high = min(low + RUNS, len(joins))
+        upto = min(high + 1, len(joins))
+        sums = np.zeros((upto - low + 1, scaled.shape[1]), np.float32)
+        cut = bounds[low : upto + 1]
+        full = np.flatnonzero(cut[1:] > cut[:-1])
+        if not len(full):
+            continue
+        rows = scaled[place[words[cut[0] : cut[-1]]]]
+        sums[full] = np.add.reduceat(rows, cut[full] - cut[0], axis=0)
+        dots = sums[: high - low] + sums[1 : high - low + 1] * joins[low:high, None]
+        window, passage = np.nonzero(dots >= NEAR * np.sqrt(energy[low:high, None]))
+        hit = dots[window, passage]
+        positive = hit > 0
+        yield window[positive] + low, passage[positive], hit[positive]
+
+
 def _search(docs: DataFrame, spaces: list[Space], idf: np.ndarray) -> DataFrame:
     half = WINDOW // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         square = idf**2
-        known = np.zeros((len(spaces), 1 << BITS), np.float32)
+        rows = np.full((len(spaces), 1 << BITS), -1, np.int32)
+        scaled = []
         for s, space in enumerate(spaces):
-            known[s, space.features] = square[space.features]
+            rows[s, space.features] = np.arange(len(space.features))
+            scaled.append((idf[space.features][:, None] * space.scores).astype(np.float32))
         for batch in batches:
             found: list[tuple] = []
             for first, _, data, offsets in W.blocks(batch.column(1)):
@@ -220,18 +256,17 @@ def _search(docs: DataFrame, spaces: list[Space], idf: np.ndarray) -> DataFrame:
                 within = np.arange(len(doc)) - np.repeat(np.cumsum(runs) - runs, runs)
                 begin = words.first[doc] + within * half
                 stop = np.minimum(begin + WINDOW, words.first[doc + 1])
+                joins = np.append(doc[1:] == doc[:-1], False)
                 total = np.append(0, np.cumsum(square[bucket]))
                 energy = total[stop] - total[begin]
+                starts = np.append(begin, len(words))
                 for s, space in enumerate(spaces):
-                    inside = np.append(0, np.cumsum(known[s][bucket], dtype=np.float64))
-                    # The share of weight on known words bounds the cosine (exactly, if no word repeats).
-                    for w in np.flatnonzero(inside[stop] - inside[begin] >= (NEAR**2 / 2) * energy):
-                        features, weights = weigh(hashes[begin[w] : stop[w]], idf)
-                        place = np.searchsorted(space.features, features)
-                        place[place == len(space.features)] = 0
-                        hit = space.features[place] == features
-                        cosine = weights[hit].astype(np.float32) @ space.scores[place[hit]]
-                        for i in np.flatnonzero(cosine >= NEAR):
+                    for windows, hits, dots in _near(space, scaled[s], rows[s][bucket], starts, joins, energy):
+                        length = {w: _norm(bucket[begin[w] : stop[w]], idf) for w in np.unique(windows).tolist()}
+                        for w, i, dot in zip(windows.tolist(), hits.tolist(), dots.tolist(), strict=True):
+                            cosine = dot / length[w]
+                            if cosine < NEAR:
+                                continue
                             item = space.words[i]
                             low = max(words.first[doc[w]], begin[w] - len(item))
                             span = hashes[low : min(words.first[doc[w] + 1], stop[w] + len(item))]
@@ -241,7 +276,7 @@ def _search(docs: DataFrame, spaces: list[Space], idf: np.ndarray) -> DataFrame:
                             answer = _holds(span, item[-ANSWER:])
                             if share >= COPY or answer:
                                 at = int(begin[w] - words.first[doc[w]])
-                                found.append((first + doc[w], space.items[i], at, float(cosine[i]), share, answer))
+                                found.append((first + doc[w], space.items[i], at, cosine, share, answer))
             columns = list(zip(*found, strict=True)) if found else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.bool_()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
