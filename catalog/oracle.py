@@ -194,11 +194,36 @@ def _discovery(log: str, variant: str) -> str:
 
 def _funnel(log: str) -> str:
     stages = [("1 candidates", "cand"), ("2 log level", "after_log"), ("3 trace level", "after_trace"), ("4 prefix level", "kept")]
-    select = "\nUNION ALL ".join(
-        f"SELECT model_id, '{stage}' AS stage, count(*) AS n_places FROM {table} GROUP BY model_id"
-        for stage, table in stages
+    counted = "\nUNION ALL ".join(
+        [f"SELECT model_id, '{stage}' AS stage, count(*) AS n FROM {table} GROUP BY model_id" for stage, table in stages]
+        + [
+            f"SELECT model_id, '{stage}', count(DISTINCT x) FROM (SELECT model_id, {item} AS x FROM kept) GROUP BY model_id"
+            for stage, item in [
+                ("5 AND-splits", "unnest(a_set)"),
+                ("6 AND-joins", "unnest(b_set)"),
+                ("7 XORs", "[a_set, b_set]"),
+            ]
+        ]
+    )
+    names = ", ".join(f"('{s}')" for s in [s for s, _ in stages] + ["5 AND-splits", "6 AND-joins", "7 XORs"])
+    return _sql(
+        _kept(log, **PARAMS[log]["2f"]) + [("counted", counted)],
+        f"""
+        SELECT model_id, stage, coalesce(n, 0) AS n
+        FROM (SELECT DISTINCT model_id FROM ev) CROSS JOIN (VALUES {names}) AS s(stage)
+        LEFT JOIN counted USING (model_id, stage)""",
     )
-    return _sql(_kept(log, **PARAMS[log]["2f"]), select)
+
+
+# One complete block of AND gateways, merged into one; no row if a pair is missing.
+BLOCK_MERGE = """
+    WITH pairs AS (SELECT DISTINCT l_returnflag AS a, l_linestatus AS b FROM lineitem),
+    merged AS (
+        SELECT 'And*:' || least('AndS:' || min(a), 'AndJ:' || min(b)) AS node
+        FROM pairs HAVING count(*) = count(DISTINCT a) * count(DISTINCT b))
+    SELECT DISTINCT 'all' AS model_id, a AS src, 'ACT' AS src_kind, node AS dst, 'AND' AS dst_kind FROM pairs, merged
+    UNION ALL
+    SELECT DISTINCT 'all', node, 'AND', b, 'ACT' FROM pairs, merged"""
 
 
 ROUNDS = 8  # series rounds written out; the fixpoint needs fewer on these tables
@@ -485,6 +510,7 @@ ORACLE: dict[str, str] = {
         " FROM dfg GROUP BY model_id, src",
     ),
     "dfg_text_roundtrip": _sql(_dfg("lineitem"), "SELECT * FROM dfg"),
+    "dfg_from_text": _sql(_dfg("events_day"), "SELECT * FROM dfg"),
     "adjacency_list": _sql(
         _dfg("events_day"),
         "SELECT model_id, src, string_agg(dst, '+' ORDER BY dst) AS dsts FROM dfg GROUP BY model_id, src",
@@ -521,6 +547,7 @@ ORACLE: dict[str, str] = {
     "discover_2f": _discovery("lineitem", "2f"),
     "discover_segments": _discovery("orders", "2f"),
     "discovery_funnel": _funnel("events_day"),
+    "discovery_funnel_segments": _funnel("orders"),
     "place_listing": _sql(
         _kept("events_day", **PARAMS["events_day"]["0f"]),
         "SELECT model_id, array_to_string(a_set, '.') || '.|' || array_to_string(b_set, '.') || '.' AS place FROM kept",
@@ -544,6 +571,8 @@ ORACLE: dict[str, str] = {
     "series_reduction": _sql(_reduced("orders"), f"SELECT * FROM gw{ROUNDS}"),
     "reduce_round": _sql(_expanded("orders") + _reduce_round("gw"), "SELECT * FROM round"),
     "block_round": _sql(_expanded("orders") + _block_round("gw"), "SELECT * FROM round"),
+    "block_merge": BLOCK_MERGE,
+    "block_fixpoint": BLOCK_MERGE,
     "gateway_reach": _sql(
         _expanded("orders") + _reach("gw"),
         "SELECT model_id, node, kind, t AS activity, 'forward' AS direction FROM fwd WHERE t_kind = 'ACT'"

@@ -14,6 +14,7 @@ from traceloom.functions.sequences import set_label
 from traceloom.operators import candidates as places
 from traceloom.operators import checks, compaction, gateways, labels, ordering, reduction, statistics
 from traceloom.plans import discovery
+from traceloom.schema import ACT, ALL, AND
 from traceloom.session import materialize, new_path
 from traceloom.sources import text
 
@@ -135,6 +136,12 @@ def dfg_text_roundtrip(spark, sf_dir):
     return text.read_dfg(spark, path)
 
 
+def dfg_from_text(spark, sf_dir):
+    path = new_path(spark, "log-text")
+    text.write_traces(_traces(spark, sf_dir, "events_day"), path)
+    return compaction.dfg_of_traces(text.read_traces(spark, path))
+
+
 def adjacency_list(spark, sf_dir):
     return _joined(places.adjacency_list(_dfg(spark, sf_dir, "events_day")), "dsts")
 
@@ -214,6 +221,10 @@ def discovery_funnel(spark, sf_dir):
     return discovery.funnel(_discovery(spark, sf_dir, "events_day", "2f"))
 
 
+def discovery_funnel_segments(spark, sf_dir):
+    return discovery.funnel(_discovery(spark, sf_dir, "orders", "2f"))
+
+
 def place_listing(spark, sf_dir):
     return discovery.place_listing(_kept(spark, sf_dir, "events_day")[0])
 
@@ -266,6 +277,38 @@ def block_round(spark, sf_dir):
     return reduction.block_round(_gateways(spark, sf_dir, "orders"))[0]
 
 
+def _flag_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return flag -> AND -> AND -> line status, an edge for each pair of a line item."""
+    flags = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.concat(F.lit("AndS:"), "l_returnflag").alias("s"),
+        F.concat(F.lit("AndJ:"), "l_linestatus").alias("j"),
+        "l_returnflag",
+        "l_linestatus",
+    )
+
+    def edge(src, src_kind, dst, dst_kind):
+        return F.struct(
+            F.lit(ALL).alias("model_id"),
+            F.col(src).alias("src"),
+            F.lit(src_kind).alias("src_kind"),
+            F.col(dst).alias("dst"),
+            F.lit(dst_kind).alias("dst_kind"),
+        )
+
+    edges = F.array(
+        edge("l_returnflag", ACT, "s", AND), edge("s", AND, "j", AND), edge("j", AND, "l_linestatus", ACT)
+    )
+    return materialize(flags.distinct().select(F.inline(edges)).distinct(), "flag-graph")
+
+
+def block_merge(spark, sf_dir):
+    return reduction.block_round(_flag_graph(spark, sf_dir))[0]
+
+
+def block_fixpoint(spark, sf_dir):
+    return reduction.reduced_gateways(_flag_graph(spark, sf_dir))
+
+
 def reduced_gateways(spark, sf_dir):
     return reduction.reduced_gateways(_gateways(spark, sf_dir, "lineitem"))
 
@@ -323,6 +366,7 @@ QUERIES: dict[str, Query] = {
         segmented_dfg,
         dfg_adjacency_lines,
         dfg_text_roundtrip,
+        dfg_from_text,
         adjacency_list,
         successor_subsets,
         inverted_list,
@@ -340,6 +384,7 @@ QUERIES: dict[str, Query] = {
         discover_2f,
         discover_segments,
         discovery_funnel,
+        discovery_funnel_segments,
         place_listing,
         fuzzy_arcs,
         gateway_edges,
@@ -351,6 +396,8 @@ QUERIES: dict[str, Query] = {
         series_reduction,
         reduce_round,
         block_round,
+        block_merge,
+        block_fixpoint,
         reduced_gateways,
         gateway_reach,
         precise_labels,

@@ -10,8 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from traceloom import log_from_traces  # noqa: E402
-from traceloom.operators.compaction import directly_follows  # noqa: E402
+from traceloom.operators.compaction import dfg_of_traces  # noqa: E402
 from traceloom.sources import text  # noqa: E402
 
 
@@ -20,10 +19,10 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--log", required=True, help="text log, one trace per line")
     parser.add_argument("--out", required=True, help="folder to write the graph to")
     parser.add_argument("--format", choices=["text", "parquet"], default="text", help="form of the graph")
-    parser.add_argument("--partitions", type=int, help="read the log with this many partitions")
+    parser.add_argument("--partitions", type=int, help="read the log with at least this many partitions")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("dfg").getOrCreate()
-    graph = directly_follows(log_from_traces(text.read_traces(spark, args.log, args.partitions)))
+    graph = dfg_of_traces(text.read_traces(spark, args.log, args.partitions))
     if args.format == "text":
         text.write_dfg(graph, args.out)
     else:

@@ -8,7 +8,8 @@ from catalog.queries import QUERIES
 from tests.helpers import places_df, rows, traces_df
 from traceloom import event_log, log_from_events, log_from_traces
 from traceloom.operators.checks import support
-from traceloom.operators.compaction import directly_follows
+from traceloom.operators.compaction import dfg_of_traces, directly_follows
+from traceloom.plans.discovery import discover, funnel
 from traceloom.operators.gateways import gateway_nodes, gateway_edges
 from traceloom.operators.statistics import dfg_of_events
 from traceloom.session import new_path
@@ -82,3 +83,18 @@ def test_thresholds_split_the_candidates(spark):
         kept[name] = {repr(r) for r in out.select(*[F.col(c).cast("string") for c in ("a_set", "b_set")]).collect()}
     assert kept["discover_2f"] < kept["discover_1f"] < kept["discover_0f"]
     assert set(PARAMS["lineitem"]) == {"0f", "1f", "2f"}
+
+
+def test_graph_of_traces_in_one_pass(spark):
+    traces = traces_df(spark, TRACES)
+    assert rows(dfg_of_traces(traces)) == rows(directly_follows(log_from_traces(traces)))
+    plan = dfg_of_traces(traces)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_count" in plan
+
+
+def test_funnel_keeps_empty_stages(spark):
+    traces = traces_df(spark, ["ab", "ab"], "m").unionByName(traces_df(spark, ["a"], "n"))
+    counts = {(m, s[:1]): n for m, s, n in rows(funnel(discover(log_from_traces(traces), gamma=0.9)))}
+    assert len(counts) == 14
+    assert [counts["m", s] for s in "1234567"] == [1] * 7
+    assert [counts["n", s] for s in "1234567"] == [0] * 7

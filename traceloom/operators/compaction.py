@@ -56,6 +56,15 @@ def log_from_events(
     return Log(variants, materialize(ordering.pieces(split, max_case_events), "pieces"))
 
 
+def _named(traces: DataFrame) -> DataFrame:
+    return traces.withColumns(
+        {
+            "model_id": F.coalesce("model_id", F.lit("")),
+            "activities": F.transform("activities", lambda x: F.coalesce(x, F.lit(""))),
+        }
+    )
+
+
 def log_from_traces(
     traces: DataFrame,
     max_case_events: int = MAX_CASE_EVENTS,
@@ -65,12 +74,7 @@ def log_from_traces(
 
     Missing names and models count as empty ones, as in `event_log`.
     """
-    traces = traces.withColumns(
-        {
-            "model_id": F.coalesce("model_id", F.lit("")),
-            "activities": F.transform("activities", lambda x: F.coalesce(x, F.lit(""))),
-        }
-    )
+    traces = _named(traces)
     large = F.size("activities") > max_case_events
     variants = materialize(_variants(traces.where(~large), compress), "variants")
     oversized = traces.where(large)
@@ -83,6 +87,14 @@ def log_from_traces(
     return Log(variants, materialize(cut.withColumn("piece", F.col("piece").cast("bigint")), "pieces"))
 
 
+def models(log: Log) -> DataFrame:
+    """Each `model_id` of the log once."""
+    found = log.variants.select("model_id")
+    if log.pieces is not None:
+        found = found.unionByName(log.pieces.select("model_id"))
+    return found.distinct()
+
+
 def activity_totals(log: Log) -> DataFrame:
     """Occurrences of each activity in the whole log: `model_id, activity, n`."""
     parts = log.variants.select("model_id", "mult", F.explode("activities").alias("activity"))
@@ -118,3 +130,13 @@ def directly_follows(log: Log) -> DataFrame:
         )
         pairs = pairs.unionByName(inside).unionByName(across)
     return pairs.groupBy("model_id", F.col("pair.src"), F.col("pair.dst")).agg(F.sum("mult").alias("n"))
+
+
+def dfg_of_traces(traces: DataFrame) -> DataFrame:
+    """The directly-follows graph of whole traces, such as a text log, in one pass.
+
+    A trace holds its own order, so only arcs with partial counts are shuffled.
+    Missing names and models count as empty ones.
+    """
+    pairs = _named(traces).select("model_id", F.explode(successions(F.col("activities"))).alias("pair"))
+    return pairs.groupBy("model_id", F.col("pair.src"), F.col("pair.dst")).agg(F.count("*").alias("n"))

@@ -185,10 +185,8 @@ def block_redexes(edges: DataFrame, strict: bool = False) -> DataFrame:
     return found.select("model_id", "k", "k_kind", "h_kind", "n_h", "n_f", "rule")
 
 
-def _block_renaming(edges: DataFrame, strict: bool) -> DataFrame:
-    """New name and kind of the nodes of the blocks applied in this round."""
-    found, f_members = _blocks(edges, strict)
-    found = materialize(found, "blocks")
+def _block_renaming(edges: DataFrame, found: DataFrame, f_members: DataFrame) -> DataFrame:
+    """New name and kind of the nodes of those blocks of `found` that are applied in this round."""
     rank = F.struct("k", "k_kind").alias("rank")
     in_f = f_members.join(found, BLOCK).select(*NODE, *BLOCK[1:], rank, F.lit("F").alias("side"))
     in_f = materialize(in_f, "block-ends")
@@ -259,9 +257,11 @@ def apply_renaming(edges: DataFrame, renaming: DataFrame) -> DataFrame:
 
 def block_round(edges: DataFrame, strict: bool = False) -> tuple[DataFrame, bool]:
     """Apply the block rules to blocks that do not touch each other."""
-    if block_redexes(edges, strict).isEmpty():
+    found, f_members = _blocks(edges, strict)
+    found = materialize(found, "blocks")
+    if found.isEmpty():
         return edges, False
-    renaming = materialize(_block_renaming(edges, strict), "renaming")
+    renaming = materialize(_block_renaming(edges, found, f_members), "renaming")
     return materialize(apply_renaming(edges, renaming), "edges"), True
 
 

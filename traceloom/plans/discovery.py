@@ -9,20 +9,25 @@ from pyspark.sql import functions as F
 
 from traceloom.operators import checks
 from traceloom.operators.candidates import MAX_SET_SIZE, candidates
-from traceloom.operators.compaction import Log, activity_totals, directly_follows
+from traceloom.operators.compaction import Log, activity_totals, directly_follows, models
+from traceloom.operators.gateways import gateway_edges, gateway_nodes
 from traceloom.schema import PLACE
 from traceloom.session import materialize
 
 
 @dataclass
 class Discovery:
-    """The stages of one discovery run; every stage is a table of places."""
+    """The stages of one discovery run; every stage is a table of places.
+
+    `models` holds each `model_id` of the log, also of those without a place.
+    """
 
     dfg: DataFrame
     candidates: DataFrame
     after_log: DataFrame
     after_trace: DataFrame
     kept: DataFrame
+    models: DataFrame
 
 
 def discover(
@@ -55,25 +60,32 @@ def discover(
         after_trace = checks.trace_level_check(counts, beta)
         counts = counts.where((F.col("trace_hit") > 0) & (F.col("trace_hit") / F.col("touched") >= beta))
     kept = checks.prefix_level_check(counts, gamma)
-    return Discovery(dfg, proposed, after_log, after_trace, kept)
+    return Discovery(dfg, proposed, after_log, after_trace, kept, models(log))
+
+
+#: Stages of a run, and the gateways its places expand to before any reduction.
+PLACE_STAGES = ["1 candidates", "2 log level", "3 trace level", "4 prefix level"]
+GATEWAY_STAGES = {"AndS": "5 AND-splits", "AndJ": "6 AND-joins", "XOR": "7 XORs"}
 
 
 def funnel(run: Discovery) -> DataFrame:
-    """Number of places after each stage: `model_id, stage, n_places`."""
-    stages = [
-        ("1 candidates", run.candidates),
-        ("2 log level", run.after_log),
-        ("3 trace level", run.after_trace),
-        ("4 prefix level", run.kept),
-    ]
-    counts = [
-        places.groupBy("model_id").agg(F.count("*").alias("n_places")).withColumn("stage", F.lit(stage))
-        for stage, places in stages
-    ]
-    result = counts[0]
-    for stage in counts[1:]:
-        result = result.unionByName(stage)
-    return result.select("model_id", "stage", "n_places")
+    """Places after each stage, and gateways of the kept ones: `model_id, stage, n`.
+
+    Every model of the log has a row for each stage, with 0 where nothing is left.
+    """
+    family = F.split_part("node", F.lit(":"), F.lit(1))
+    stage_of = F.create_map(*[F.lit(x) for pair in GATEWAY_STAGES.items() for x in pair])
+    found = gateway_nodes(gateway_edges(run.kept)).select("model_id", stage_of[family].alias("stage"))
+    tables = [run.candidates, run.after_log, run.after_trace, run.kept]
+    for stage, places in zip(PLACE_STAGES, tables, strict=True):
+        found = found.unionByName(places.select("model_id", F.lit(stage).alias("stage")))
+    counts = found.groupBy("model_id", "stage").agg(F.count("*").alias("n"))
+    stages = F.array(*[F.lit(s) for s in [*PLACE_STAGES, *GATEWAY_STAGES.values()]])
+    return (
+        run.models.select("model_id", F.explode(stages).alias("stage"))
+        .join(counts, ["model_id", "stage"], "left")
+        .select("model_id", "stage", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    )
 
 
 def place_listing(places: DataFrame) -> DataFrame:
