@@ -122,10 +122,38 @@ SELECT c.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGIN
 FROM cut c LEFT JOIN rest r ON c.doc_id = r.doc_id
 """
 
+#: Exact in DOUBLE: whole numbers far below 2 ** 53.
+OP13_HARD_NEGATIVES = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.rid, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    CAST(list_inner_product(a.q, c.q) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0),
+positives AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS slot
+  FROM scored WHERE same AND vec_id <> anchor_id
+  QUALIFY slot <= 5),
+mined AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, n.vec_id AS negative_id,
+    n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.rid, p.slot ORDER BY n.score DESC, n.vec_id) AS place
+  FROM positives p JOIN scored n ON p.rid = n.rid
+  WHERE NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM mined WHERE place <= 3
+"""
+
 ORACLE: dict[str, str] = {
     "op1_minhash": OP1_MINHASH,
     "op3_host_rules": OP3_HOST_RULES,
     "op5_line_windows": OP5_LINE_WINDOWS,
     "op6_warc": OP6_WARC,
     "op8_substrings": OP8_SUBSTRINGS,
+    "op13_hard_negatives": OP13_HARD_NEGATIVES,
 }
