@@ -14,6 +14,7 @@ from traceloom.llm.licenses import scan
 from traceloom.llm.line_windows import drop_repeated_windows
 from traceloom.llm.minhash import near_duplicates
 from traceloom.llm.packing import pack_documents, public_bpe
+from traceloom.llm.personal_data import personal_data
 from traceloom.llm.spelling import spelling_variants
 from traceloom.llm.substrings import drop_repeated
 from traceloom.llm.toxicity import classify
@@ -68,6 +69,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), labelled_urls(spark))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_licenses": op9_licenses,
     "op10_url_filter": op10_url_filter,
+    "op11_personal_data": op11_personal_data,
     "op12_spelling": op12_spelling,
     "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
