@@ -5,17 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters for the members of an activity set: digits while there are enough.
-DIGITS = "123456789"
-LETTERS = "".join(chr(c) for c in range(ord("a"), 256))
-
-
-def alphabet(width: int) -> str:
-    """Letters for activity sets of up to `width` members."""
-    if width > len(LETTERS):
-        raise ValueError(f"a place may have at most {len(LETTERS)} activities")
-    return DIGITS if width <= len(DIGITS) else LETTERS
-
 
 def successions(activities: Column) -> Column:
     """Adjacent pairs of a sequence, as an array of (src, dst)."""
@@ -26,52 +15,6 @@ def successions(activities: Column) -> Column:
     )
 
 
-def member_letters(activities: Column, members: Column, letters: str) -> Column:
-    """The part of a sequence that consists of `members`, one letter per step.
-
-    The i-th member is written as the i-th of `letters`.
-    """
-    if letters == DIGITS:
-        steps, absent = F.transform(activities, lambda x: F.array_position(members, x)), "0"
-    else:
-        before = ord(letters[0]) - 1
-        steps = F.transform(activities, lambda x: F.char(F.array_position(members, x) + before))
-        absent = chr(before)
-    return F.replace(F.array_join(steps.cast("array<string>"), ""), F.lit(absent), F.lit(""))
-
-
-def member_signs(members: Column, a_set: Column) -> Column:
-    """One sign per member: `+` if it puts a token (is in A), `-` if it takes one."""
-    return F.array_join(
-        F.transform(members, lambda x: F.when(F.array_contains(a_set, x), "+").otherwise("-")), ""
-    )
-
-
-def token_signs(letters: Column, signs: Column, alphabet: str) -> Column:
-    """Steps written as letters, read as the puts and takes of a place."""
-    return F.call_function("translate", letters, F.left(F.lit(alphabet), F.length(signs)), signs)
-
-
-def token_walk(signs: Column) -> Column:
-    """Token balance along a string of `+` and `-`: (fin, low, n_a, n_b).
-
-    `fin` is the balance at the end, `low` the lowest balance of any prefix
-    (at most 0, the balance of the empty one).
-    """
-    n_b = F.length(F.replace(signs, F.lit("+"), F.lit(""))).cast("bigint")
-    n_a = F.length(signs) - n_b
-
-    def step(acc: Column, sign: Column) -> Column:
-        balance = acc["now"] + F.when(sign == "+", 1).otherwise(-1)
-        return F.struct(balance.alias("now"), F.least(acc["low"], balance).alias("low"))
-
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("low"))
-    low = F.aggregate(F.split(signs, ""), start, step)["low"]
-    return F.struct(
-        (n_a - n_b).alias("fin"), low.cast("bigint").alias("low"), n_a.alias("n_a"), n_b.alias("n_b")
-    )
-
-
 def set_label(members: Column) -> Column:
     """Names joined by `+`. Separators inside names are escaped, so labels tell sets apart."""
     return F.concat_ws("+", F.transform(members, lambda x: F.regexp_replace(x, r"([\\+>])", r"\\$1")))

@@ -1,18 +1,27 @@
-"""Checks of candidate places against the log."""
+"""Checks of candidate places against the log.
+
+Whether a place is balanced at the end of a trace depends only on how often its
+activities occur, so traces with equal *bags* of activities are counted once and
+the trace filter never looks at an order. The prefix filter then walks only the
+places that are balanced in a bag and can still reach the threshold, and only the
+occurrences of their activities. Rows between the steps hold keys and counts,
+never a trace.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.functions.sequences import alphabet, member_letters, member_signs, token_signs, token_walk
 from traceloom.operators.candidates import place_members
 from traceloom.operators.compaction import Log
-from traceloom.operators.joins import lookup_join
-from traceloom.schema import PLACE
-from traceloom.session import materialize, spread
+from traceloom.operators.joins import fits, lookup_join
+from traceloom.schema import CASE, PLACE
+from traceloom.session import materialize
 
 
 def log_level_balance(places: DataFrame, totals: DataFrame) -> DataFrame:
@@ -38,137 +47,210 @@ def log_level_check(places: DataFrame, totals: DataFrame, alpha: float) -> DataF
     return log_level_balance(places, totals).where(F.col("gap") <= alpha)
 
 
+#: Identifies a bag of activities (128 bits of hashes), or an oversized case.
+BAG = ["h1", "h2"]
+
+
 @dataclass
-class MemberSets:
-    """The distinct activity sets of the places: `set_id, model_id, members`."""
+class Readings:
+    """The places, and how they read the distinct activity sets they are made of.
+
+    Several places have the same activities (a->bc, b->ac, ab->c, ...), so a bag
+    is cut down to an activity set once for all of them.
+
+    places:  place and `place_id`
+    sets:    `set_id, model_id, members`
+    signs:   `place_id, set_id, s0..`: +1 if a place's member is in A, -1 if in B
+    """
 
-    table: DataFrame
-    rows: int
+    places: DataFrame
+    n_places: int
+    sets: DataFrame
+    n_sets: int
+    signs: DataFrame
     width: int
 
+    def counts(self) -> list[str]:
+        return [f"c{i}" for i in range(self.width)]
 
-def _member_sets(places: DataFrame) -> MemberSets:
-    """Several places have the same activities (a->bc, b->ac, ab->c, ...), so a
-    trace is cut down to an activity set once for all of them.
-    """
-    sets = places.select("model_id", _members()).distinct()
+    def total(self, counted: Callable[[Column], Column]) -> Column:
+        """Sum over members of their count, chosen by their sign."""
+        return reduce(lambda x, y: x + y, [F.col(f"c{i}") * counted(F.col(f"s{i}")) for i in range(self.width)])
+
+
+def _readings(places: DataFrame) -> Readings:
+    members = F.sort_array(F.array_union("a_set", "b_set")).alias("members")
+    named = materialize(places.select(*PLACE, members, F.monotonically_increasing_id().alias("place_id")), "places")
+    sets = named.select("model_id", "members").distinct()
     sets = materialize(sets.withColumn("set_id", F.monotonically_increasing_id()), "sets")
     size = sets.agg(F.count("*").alias("rows"), F.max(F.size("members")).alias("width")).first()
-    return MemberSets(sets, size["rows"], size["width"] or 1)
+    width = size["width"] or 1
 
+    def sign(i: int) -> Column:
+        member = F.get("members", F.lit(i))
+        return F.when(member.isNull(), 0).when(F.array_contains("a_set", member), 1).otherwise(-1).cast("bigint")
 
-def _members() -> Column:
-    return F.sort_array(F.array_union("a_set", "b_set")).alias("members")
+    signs = named.join(sets, ["model_id", "members"]).select(
+        "place_id", "set_id", *[sign(i).alias(f"s{i}") for i in range(width)]
+    )
+    return Readings(named.drop("members"), named.count(), sets, size["rows"], materialize(signs, "signs"), width)
 
 
-def _projections(sequences: DataFrame, sets: MemberSets, letters: str, whole: bool) -> DataFrame:
-    """Sequences cut down to every activity set they have a member of.
+def _bag_key(*parts: Column | str) -> list[Column]:
+    return [F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *parts).alias("h2")]
 
-    An equi join on one activity finds the sets that touch a sequence; of the
-    matches of one set only that on its first member present is kept. Sequences
-    are not shuffled unless the sets are too many to broadcast.
 
-    A `whole` trace with a single member of a set is a miss for each place on
-    the set, however often the member occurs; one occurrence stands for all.
-    """
-    by_member = sets.table.select("set_id", "model_id", "members", F.posexplode("members").alias("i", "activity"))
-    earlier = F.slice("members", F.lit(1), F.col("i"))
-    later = F.slice("members", F.col("i") + 2, F.size("members"))
-    letter = F.substring(F.lit(letters), F.col("i") + 1, F.lit(1))
-    steps = member_letters(F.col("activities"), F.col("members"), letters)
-    if whole:
-        steps = F.when(F.arrays_overlap(later, "present"), steps).otherwise(letter)
-    kept = [c for c in sequences.columns if c not in ("model_id", "activities")]
-    occurring = (
-        spread(sequences)
-        .withColumn("present", F.array_distinct("activities"))
-        .withColumn("activity", F.explode("present"))
+def _bag_counts(log: Log) -> DataFrame:
+    """`h1, h2, mult, model_id, activity, n`: each distinct bag of the log, and each oversized case."""
+    bag = F.col("bag")
+    present = F.array_distinct(bag)
+    # The bag is sorted: a run ends where the next one starts.
+    starts = F.transform(present, lambda x: F.array_position(bag, x))
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(bag) + F.lit(1).cast("bigint")))
+    runs = F.explode(F.arrays_zip(present.alias("activity"), F.zip_with(ends, starts, lambda e, b: e - b).alias("n")))
+    counted = (
+        log.variants.groupBy("model_id", F.sort_array("activities").alias("bag"))
+        .agg(F.sum("mult").alias("mult"))
+        .select(*_bag_key("model_id", "bag"), "mult", "model_id", runs.alias("run"))
+        .select(*BAG, "mult", "model_id", "run.activity", "run.n")
     )
-    return (
-        lookup_join(
-            occurring, by_member, ["model_id", "activity"], sets.rows * sets.width, row_bytes=100 + 40 * sets.width
-        )
-        .where(~F.arrays_overlap(earlier, "present"))
-        .select(*kept, "set_id", steps.alias("steps"))
+    if log.pieces is None:
+        return counted
+    cases = (
+        log.pieces.select(*CASE, F.explode("activities").alias("activity"))
+        .groupBy(*CASE, "activity")
+        .agg(F.count("*").alias("n"))
+        .select(*_case_key(), F.lit(1).cast("bigint").alias("mult"), "model_id", "activity", "n")
     )
+    return counted.unionByName(cases)
 
 
-def place_walks(log: Log, places: DataFrame) -> DataFrame:
-    """Every way traces run through every place, with the number of traces.
+def _case_key() -> list[Column]:
+    return _bag_key(F.lit("case"), *CASE)
 
-    Columns: place, `mult`, token balance `fin` at the end and lowest balance
-    `low`, occurrences `n_a`, `n_b` (of traces with one side only: at least 1).
-    Traces that do not touch a place are absent. The sides of a place are disjoint.
+
+def _touched(log: Log, reading: Readings) -> DataFrame:
+    """`h1, h2, mult, set_id, c0..`: how often the members of each set occur in each bag that has any.
+
+    An equi join on one activity finds the sets that touch a bag.
     """
-    n_places = places.count()
-    sets = _member_sets(places)
-    readings = (
-        places.withColumn("members", _members())
-        .join(sets.table, ["model_id", "members"])
-        .select("set_id", *PLACE, member_signs(F.col("members"), F.col("a_set")).alias("signs"))
-    )
-    letters = alphabet(sets.width)
-    signs = token_signs(F.col("steps"), F.col("signs"), letters).alias("signs")
-    walk = token_walk(F.col("signs")).alias("walk")
-    # Long traces that differ elsewhere look alike on a few activities: equal
-    # projections are counted together before places read them as puts and
-    # takes, and equal runs of those before the balance is computed.
-    shared = (
-        _projections(log.variants, sets, letters, whole=True)
-        .groupBy("set_id", "steps")
-        .agg(F.sum("mult").alias("mult"))
+    by_member = reading.sets.select("set_id", "model_id", F.posexplode("members").alias("i", "activity"))
+    once = [F.sum(F.when(F.col("i") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(reading.counts())]
+    bags = _bag_counts(log).repartition(*BAG)
+    joined = lookup_join(bags, by_member, ["model_id", "activity"], reading.n_sets * reading.width)
+    return joined.groupBy(*BAG, "mult", "set_id").agg(*once)
+
+
+def _sides(touched: DataFrame, reading: Readings) -> DataFrame:
+    """`place_id, mult, n_a, n_b`: how often both sides of each place occur, equal bags together."""
+    shared = touched.groupBy("set_id", *reading.counts()).agg(F.sum("mult").alias("mult"))
+    n_a = reading.total(lambda sign: F.greatest(sign, F.lit(0)))
+    n_b = reading.total(lambda sign: F.greatest(-sign, F.lit(0)))
+    return lookup_join(shared, reading.signs, ["set_id"], reading.n_places).select(
+        "place_id", "mult", n_a.alias("n_a"), n_b.alias("n_b")
     )
-    walks = (
-        lookup_join(shared, readings, ["set_id"], n_places)
-        .select(*PLACE, signs, "mult")
-        .groupBy(*PLACE, "signs")
-        .agg(F.sum("mult").alias("mult"))
-        .select(*PLACE, "mult", walk)
-        .select(*PLACE, "mult", "walk.*")
-    )
-    if log.pieces is None:
-        return walks
-    # Pieces of one case are evaluated apart and then chained: the lowest
-    # balance of a piece counts from the balance the pieces before it leave.
-    case = ["case_id", *PLACE]
-    before = Window.partitionBy(*case).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    cut = _projections(log.pieces, sets, letters, whole=False)
-    chained = (
-        lookup_join(cut, readings, ["set_id"], n_places)
-        .select(*case, "piece", signs)
-        .select(*case, "piece", walk)
-        .withColumn("start", F.coalesce(F.sum("walk.fin").over(before), F.lit(0)))
-        .groupBy(*case)
-        .agg(
-            F.sum("walk.fin").alias("fin"),
-            F.min(F.col("start") + F.col("walk.low")).alias("low"),
-            F.sum("walk.n_a").alias("n_a"),
-            F.sum("walk.n_b").alias("n_b"),
-        )
-        .select(*PLACE, F.lit(1).cast("bigint").alias("mult"), "fin", "low", "n_a", "n_b")
-    )
-    return walks.unionByName(chained)
 
 
-def _tally(walks: DataFrame, **hits: Column) -> DataFrame:
+def _tally(sides: DataFrame, reading: Readings, **hits: Column) -> DataFrame:
     zero = F.lit(0).cast("bigint")
-    return walks.groupBy(*PLACE).agg(
+    counts = sides.groupBy("place_id").agg(
         F.sum("mult").alias("touched"),
         *[F.sum(F.when(hit, F.col("mult")).otherwise(zero)).alias(name) for name, hit in hits.items()],
     )
+    return reading.places.join(counts, "place_id")
+
+
+def trace_support(log: Log, places: DataFrame) -> DataFrame:
+    """Trace-level hits of each place: place, `touched`, `trace_hit`.
+
+    `touched` are the traces with an activity of the place, `trace_hit` those in
+    which A and B occur equally often. The sides of a place are disjoint. No order
+    inside a trace is looked at.
+    """
+    reading = _readings(places)
+    return _trace_tally(log, reading).drop("place_id")
 
 
-def support(log: Log, places: DataFrame) -> DataFrame:
-    """Trace-level and prefix-level hits of each place, from one pass.
+def _trace_tally(log: Log, reading: Readings) -> DataFrame:
+    return _tally(_sides(_touched(log, reading), reading), reading, trace_hit=F.col("n_a") == F.col("n_b"))
 
-    Columns: place, `touched` (traces with an activity of the place), `trace_hit`
-    (A and B occur equally often), `prefix_hit` (and B is never ahead of A).
+
+def _occurrences(log: Log) -> list[tuple[DataFrame, list[str], list[str]]]:
+    """Variants and pieces exploded: `h1, h2, mult, <owner>, pos, activity`, the owner of a
+    sequence, and what chains sequences to traces (nothing, or the piece)."""
+    named = log.variants.withColumn("owner", F.monotonically_increasing_id())
+    variants = named.select(
+        *_bag_key("model_id", F.sort_array("activities")),
+        "mult",
+        "owner",
+        F.posexplode("activities").alias("pos", "activity"),
+    )
+    out = [(variants, ["owner"], [])]
+    if log.pieces is not None:
+        pieces = log.pieces.select(
+            *_case_key(), F.lit(1).cast("bigint").alias("mult"), *CASE, "piece", F.posexplode("activities").alias("pos", "activity")
+        )
+        out.append((pieces, CASE, ["piece"]))
+    return out
+
+
+def _prefix_hits(log: Log, reading: Readings, walked: DataFrame) -> DataFrame:
+    """`place_id, prefix_hit` of the places `walked` (`place_id`).
+
+    Only bags in which a place is balanced are walked: a running balance over the
+    occurrences of its activities, in order. Oversized cases are walked piece by
+    piece; a piece starts from the balance that the pieces before it leave.
+    """
+    balanced = reading.total(lambda sign: sign) == 0
+    signs = reading.signs.join(walked, "place_id", "left_semi")
+    pairs = materialize(
+        lookup_join(_touched(log, reading), signs, ["set_id"], reading.n_places).where(balanced).select(*BAG, "place_id"),
+        "balanced",
+    )
+    n_pairs = pairs.count()
+    members = place_members(reading.places).join(reading.places, PLACE).select("place_id", "activity", "d")
+    steps = materialize(pairs.join(members, "place_id"), "steps")
+    n_steps = n_pairs * 2 * reading.width  # at most
+    lowest = []
+    for occurrences, owner, chain in _occurrences(log):
+        if fits(n_steps):
+            # Each sequence stays in one partition, so that its places need no further exchange.
+            occurrences = occurrences.repartition(*owner)
+        sequence = [*owner, "place_id", *chain]
+        along = Window.partitionBy(*sequence).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        low = (
+            lookup_join(occurrences, steps, [*BAG, "activity"], n_steps)
+            .select(*sequence, "mult", "d", F.sum("d").over(along).alias("balance"))
+            .groupBy(*sequence, "mult")
+            .agg(F.sum("d").alias("fin"), F.min("balance").alias("low"))
+        )
+        if chain:
+            before = Window.partitionBy(*owner, "place_id").orderBy(*chain).rowsBetween(Window.unboundedPreceding, -1)
+            low = (
+                low.withColumn("start", F.coalesce(F.sum("fin").over(before), F.lit(0)))
+                .groupBy(*owner, "place_id", "mult")
+                .agg(F.min(F.col("start") + F.col("low")).alias("low"))
+            )
+        lowest.append(low.where(F.col("low") >= 0).select("place_id", "mult"))
+    return reduce(DataFrame.unionByName, lowest).groupBy("place_id").agg(F.sum("mult").alias("prefix_hit"))
+
+
+def support(log: Log, places: DataFrame, at_least: float = 0.0) -> DataFrame:
+    """Trace-level and prefix-level hits of each place.
+
+    Columns: place, `touched`, `trace_hit` (see `trace_support`), `prefix_hit`
+    (balanced at the end, and B is never ahead of A). A prefix hit is a trace hit,
+    so places whose share of trace hits is below `at_least` are not walked: their
+    `prefix_hit` is NULL.
     """
-    balanced = F.col("fin") == 0
-    return _tally(
-        place_walks(log, places),
-        trace_hit=balanced,
-        prefix_hit=balanced & (F.col("low") >= 0),
+    reading = _readings(places)
+    counts = materialize(_trace_tally(log, reading), "trace-support")
+    walked = (F.col("trace_hit") > 0) & (F.col("trace_hit") / F.col("touched") >= at_least)
+    hits = _prefix_hits(log, reading, counts.where(walked).select("place_id"))
+    found = F.coalesce("prefix_hit", F.lit(0).cast("bigint"))
+    known = walked | (F.col("trace_hit") == 0)
+    return counts.join(hits, "place_id", "left").select(
+        *PLACE, "touched", "trace_hit", F.when(known, found).alias("prefix_hit")
     )
 
 
@@ -186,7 +268,7 @@ def _outcome(counts: DataFrame, hit: str, threshold: float | None) -> DataFrame:
 
 
 def trace_level_check(counts: DataFrame, beta: float | None = None) -> DataFrame:
-    """Places balanced at the end of enough traces (`counts` from `support`)."""
+    """Places balanced at the end of enough traces (`counts` from `trace_support` or `support`)."""
     return _outcome(counts, "trace_hit", beta)
 
 
@@ -197,6 +279,8 @@ def prefix_level_check(counts: DataFrame, gamma: float | None = None) -> DataFra
 
 def trace_similarity_check(log: Log, places: DataFrame, delta: float, threshold: float | None = None) -> DataFrame:
     """Places whose sides occur similarly often: min / max >= delta is a hit."""
+    reading = _readings(places)
     smaller, larger = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     similar = (smaller > 0) & (smaller / larger >= delta)
-    return _outcome(_tally(place_walks(log, places), similar_hit=similar), "similar_hit", threshold)
+    counts = _tally(_sides(_touched(log, reading), reading), reading, similar_hit=similar)
+    return _outcome(counts, "similar_hit", threshold)

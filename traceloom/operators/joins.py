@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from traceloom import session
 
 
+def fits(rows: int, row_bytes: int = 200) -> bool:
+    """Whether so many rows may be broadcast."""
+    return rows * row_bytes <= session.BROADCAST_BYTES
+
+
 def lookup_join(
     large: DataFrame,
     small: DataFrame,
@@ -23,6 +28,6 @@ def lookup_join(
     repeated: a partition that a hot key fills is split when the sizes are known
     (`spark.sql.adaptive.skewJoin`).
     """
-    if small_rows * row_bytes <= session.BROADCAST_BYTES:
+    if fits(small_rows, row_bytes):
         return large.join(F.broadcast(small), keys, how)
     return large.join(small.hint("merge"), keys, how)

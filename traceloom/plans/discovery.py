@@ -53,8 +53,8 @@ def discover(
         totals = materialize(activity_totals(log), "totals")
         passed = checks.log_level_check(proposed, totals, alpha)
         after_log = materialize(passed.select(*PLACE), "after-log")
-    # One pass over the log counts the hits of both trace filters.
-    counts = materialize(checks.support(log, after_log), "support")
+    # Order is looked at only for places that the trace-level counts let pass.
+    counts = materialize(checks.support(log, after_log, max(gamma, beta or 0.0)), "support")
     after_trace = after_log
     if beta is not None:
         after_trace = checks.trace_level_check(counts, beta)
