@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tests.llm import brute
 from traceloom.llm.minhash import components, near_duplicates
 
@@ -42,6 +44,17 @@ def test_odd_rows(odd, empty):
     assert near_duplicates(empty).collect() == []
 
 
+def test_texts_that_share_an_id(spark):
+    """Rows are judged by their text: two unlike texts of one id link nothing together."""
+    rng = random.Random(1)
+    a, b = ([f"{c}{rng.randrange(10_000)}" for _ in range(100)] for c in "ab")
+    near = lambda w: " ".join([*w[:99], "other"])
+    rows = [(3, " ".join(a)), (5, near(a)), (5, " ".join(b)), (9, near(b)), (9, near(b)), (None, near(b)), (2, near(b)[:-5] + "third")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").withColumns({"node": F.lit(1), "h": F.lit(2), "low": F.lit(3)})
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(df, 4, 80).collect() if r.doc_id)
+    assert got == [(2, 2, True), (3, 3, True), (5, 2, False), (5, 3, False), (9, 2, False), (9, 2, False)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 70), (70, 99)]
     df = spark.createDataFrame(edges, "x BIGINT, y BIGINT")

@@ -6,10 +6,11 @@ of `COLLECTION` hashes, each the combination of `ROWS` minima. So
 `2 * COLLECTION * ROWS` minhash computations. With 10 and 3, two documents of
 similarity 0.8 share a table with probability (1 - (1 - 0.8^3)^10)^2 = 0.998.
 
-Equal sets are one class from the start, so copies never meet in pairs. Every
-document is compared, on full shingle sets, with the smallest ids of its buckets.
-Buckets that still hold several components go on to a join on their members'
-rarest shingles, which finds all their pairs without forming them in the bucket.
+Equal sets are one class from the start, so copies never meet in pairs, and texts
+that share an id are apart. Every class is compared, on full shingle sets, with the
+first classes of its buckets. Buckets that still hold several components go on to a
+join on their members' rarest shingles, which finds all their pairs without forming
+them in the bucket.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ ROWS = 3
 #: A pair whose minima agree less often than this isn't compared on full sets:
 #: 60 minima of a pair of similarity 0.8 agree 30 times or less in 10^-7 of cases.
 LEAST_ESTIMATE = 0.5
-#: Ids whose texts are sought are broadcast up to this number (8 bytes each), else shuffled.
-BROADCAST_IDS = 2_000_000
+#: Classes whose texts are sought are broadcast up to this number (24 bytes each), else shuffled.
+BROADCAST_IDS = 700_000
 
 _rng = np.random.default_rng(77)
 _FLIP = _rng.integers(0, 1 << 32, 2 * COLLECTION * ROWS, dtype=np.uint32)
@@ -118,9 +119,9 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id BIGINT, shingles BINARY")
+    return docs.mapInArrow(run, "node BIGINT, shingles BINARY")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -140,8 +141,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(good))
 
     return (
-        pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx")), "x")
-        .join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("sy")), "y")
+        pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x")
+        .join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y")
         .select("x", "y", "sx", "sy")
         .mapInArrow(run, "x BIGINT, y BIGINT")
         .distinct()
@@ -149,24 +150,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _exploded(docs: DataFrame, size: int) -> DataFrame:
-    """`rep, n, shingle`: every hashed shingle of each text."""
+    """`node, n, shingle`: every hashed shingle of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, s in enumerate(shingle_sets(batch.column(1), size)):
-                rep = batch.column(0)[i].as_py()
+                node = batch.column(0)[i].as_py()
                 for low in range(0, len(s), _STEP):
                     part = s[low : low + _STEP]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(len(part), rep, np.int64)),
+                            pa.array(np.full(len(part), node, np.int64)),
                             pa.array(np.full(len(part), len(s), np.int64)),
                             pa.array(W.signed(part)),
                         ],
-                        ["rep", "n", "shingle"],
+                        ["node", "n", "shingle"],
                     )
 
-    return docs.mapInArrow(run, "rep BIGINT, n BIGINT, shingle BIGINT").distinct()
+    return docs.mapInArrow(run, "node BIGINT, n BIGINT, shingle BIGINT").distinct()
 
 
 def _share_rare_shingles(shingles: DataFrame, placed: DataFrame, threshold: int) -> DataFrame:
@@ -177,17 +178,17 @@ def _share_rare_shingles(shingles: DataFrame, placed: DataFrame, threshold: int)
     and so many must follow it in both as the overlap still needs.
     """
     often = shingles.groupBy("shingle").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("rep", "n").orderBy("often", "shingle")
+    order = Window.partitionBy("node", "n").orderBy("often", "shingle")
     first = (
         shingles.join(often, "shingle")
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1)
-        .join(placed, "rep")
+        .join(placed, "node")
         .where("often > 1")
     )
-    first = materialize(first.select("shingle", "rep", "component", "n", "place"), "rare")
-    p = first.select("shingle", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
-    q = first.select("shingle", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    first = materialize(first.select("shingle", "node", "component", "n", "place"), "rare")
+    p = first.select("shingle", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    q = first.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"))
     ahead = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + 1
     return (
         p.join(q, "shingle")
@@ -247,35 +248,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(signatures(plain, size), "signatures")
-    classes = materialize(
+    classes = (
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("h1", "h2", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first(F.struct("a", "b", "minima")).alias("s"))
-        .select("h1", "h2", "rep", "n_shingles", "s.*"),
-        "classes",
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first(F.struct("a", "b", "minima")).alias("s"))
+        .select("h1", "h2", "n_shingles", "one.*", "s.*")
     )
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     tables = (
-        classes.select("rep", "b", F.posexplode("a").alias("i", "u"))
-        .select("rep", "i", "u", F.posexplode("b").alias("j", "v"))
-        .select("rep", F.xxhash64("i", "u", "j", "v").alias("key"))
+        classes.select("node", "b", F.posexplode("a").alias("i", "u"))
+        .select("node", "i", "u", F.posexplode("b").alias("j", "v"))
+        .select("node", F.xxhash64("i", "u", "j", "v").alias("key"))
     )
     hubs = (
         tables.groupBy("key")
-        .agg(F.min("rep").alias("hub"), F.max("rep").alias("last"))
+        .agg(F.min("node").alias("hub"), F.max("node").alias("last"))
         .where("hub < last")
         .select("key", "hub")
     )
-    members = materialize(
-        tables.join(hubs, "key").select("key", "hub", "rep"), "buckets"
-    )
-    minima_of = classes.select("rep", "n_shingles", "minima")
+    members = materialize(tables.join(hubs, "key").select("key", "hub", "node"), "buckets")
+    minima_of = classes.select("node", "n_shingles", "minima")
     agreeing = F.aggregate(
         F.zip_with("mx", "my", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v
     )
 
     def likely(pairs: DataFrame) -> DataFrame:
-        x = minima_of.select(F.col("rep").alias("x"), F.col("n_shingles").alias("nx"), F.col("minima").alias("mx"))
-        y = minima_of.select(F.col("rep").alias("y"), F.col("n_shingles").alias("ny"), F.col("minima").alias("my"))
+        x = minima_of.select(F.col("node").alias("x"), F.col("n_shingles").alias("nx"), F.col("minima").alias("mx"))
+        y = minima_of.select(F.col("node").alias("y"), F.col("n_shingles").alias("ny"), F.col("minima").alias("my"))
         return (
             pairs.join(x, "x")
             .join(y, "y")
@@ -285,16 +284,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
             .distinct()
         )
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        ids = materialize(ids.distinct(), "wanted")
-        return plain.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """`node, text`: a text of each class."""
+        one = classes.select("node", "doc_id", F.col("text_hash").alias("h"))
+        wanted = materialize(one.join(nodes.distinct(), "node", "left_semi"), "wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        same = (plain.doc_id == wanted.doc_id) & (text_hash() == wanted.h)
+        return plain.join(wanted, same).select("node", "text")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y"))
+        wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y"))
         return materialize(_verified(pairs, _sets(texts_of(wanted), size), threshold), name)
 
-    # First each document meets the smallest id it shares most buckets with. Then
-    # only smallest ids of other components remain to be met.
+    # First each class meets the bucket's first class it shares most buckets with.
+    # Then only first classes of other components remain to be met.
     def joined(links: DataFrame, labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links and labels after the true ones of `pairs`."""
         pairs = materialize(likely(pairs), "pairs")
@@ -305,39 +308,44 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
         return links, components(links)
 
     starred = materialize(
-        members.where("rep <> hub").groupBy("rep", "hub").count().withColumnRenamed("count", "shared"), "starred"
+        members.where("node <> hub").groupBy("node", "hub").count().withColumnRenamed("count", "shared"), "starred"
     )
-    best = starred.groupBy("rep").agg(F.max(F.struct("shared", (-F.col("hub")).alias("hub"))).alias("m"))
-    links = confirmed(materialize(likely(best.select((-F.col("m.hub")).alias("x"), F.col("rep").alias("y"))), "best"), "edges")
+    best = starred.groupBy("node").agg(F.max(F.struct("shared", (-F.col("hub")).alias("hub"))).alias("m"))
+    links = confirmed(materialize(likely(best.select((-F.col("m.hub")).alias("x"), F.col("node").alias("y"))), "best"), "edges")
     labels = components(links)
     apart = (
-        starred.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("cr")), "rep", "left")
+        starred.join(labels.select(F.col("node"), F.col("component").alias("cr")), "node", "left")
         .join(labels.select(F.col("node").alias("hub"), F.col("component").alias("ch")), "hub", "left")
-        .where(F.coalesce("cr", "rep") != F.coalesce("ch", "hub"))
-        .join(best.select("rep", (-F.col("m.hub")).alias("hub")), ["rep", "hub"], "left_anti")
+        .where(F.coalesce("cr", "node") != F.coalesce("ch", "hub"))
+        .join(best.select("node", (-F.col("m.hub")).alias("hub")), ["node", "hub"], "left_anti")
     )
-    links, labels = joined(links, labels, apart.select(F.col("hub").alias("x"), F.col("rep").alias("y")))
+    links, labels = joined(links, labels, apart.select(F.col("hub").alias("x"), F.col("node").alias("y")))
 
-    # What the smallest ids did not join: further members of buckets still open.
-    placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "hub", "rep", F.coalesce("component", "rep").alias("component")
+    # What the first classes did not join: further members of buckets still open.
+    placed = members.join(labels, "node", "left").select(
+        "key", "hub", "node", F.coalesce("component", "node").alias("component")
     )
     opened = (
-        placed.where("rep <> hub")
+        placed.where("node <> hub")
         .groupBy("key")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low < high")
         .select("key")
     )
-    rest = materialize(placed.join(opened, "key", "left_semi").select("rep", "component").distinct(), "open")
-    further = _share_rare_shingles(_exploded(texts_of(rest.select(F.col("rep").alias("doc_id"))), size), rest, threshold)
+    rest = materialize(placed.join(opened, "key", "left_semi").select("node", "component").distinct(), "open")
+    further = _share_rare_shingles(_exploded(texts_of(rest.select("node")), size), rest, threshold)
     links, labels = joined(links, labels, further)
 
-    of_class = classes.select("h1", "h2", F.col("n_shingles").alias("n"), "rep")
+    # A component is named by the smallest id of its documents.
+    linked = classes.select("node", "doc_id").join(labels, "node")
+    names = linked.groupBy("component").agg(F.min("doc_id").alias("low"))
+    low = linked.join(names, "component").select("node", "low")
+    of_class = classes.join(low, "node", "left").select(
+        "h1", "h2", F.col("n_shingles").alias("n"), F.coalesce("low", "doc_id").alias("component_id")
+    )
     same = (signed.h1 == of_class.h1) & (signed.h2 == of_class.h2) & (signed.n_shingles == of_class.n)
-    named = signed.join(of_class, same, "left").select("doc_id", "text_hash", "n_shingles", "rep")
-    found = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id", "text_hash", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")
+    found = signed.join(of_class, same, "left").select(
+        "doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
     return found.select(
         "doc_id",
