@@ -17,7 +17,7 @@ def events_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.to_date("ts").cast("string")
     return event_log(
         _table(spark, sf_dir, "events"),
-        case=F.concat_ws("@", F.col("user_id").cast("string"), day),
+        case=F.concat(F.col("user_id").cast("string"), F.lit("@"), day),
         order=["ts", "event_id"],
         activity="event_type",
     )

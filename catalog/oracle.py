@@ -5,14 +5,14 @@ Written for DuckDB over the same tables. Sets are shown as `a+b`.
 
 from __future__ import annotations
 
-from catalog.params import COPIES, DELTA, PARAMS
+from catalog.params import COPIES, DELTA, GRID, PARAMS
 
 RAW = {
     "events_day": """
         SELECT 'all' AS model_id, user_id || '@' || CAST(CAST(ts AS DATE) AS VARCHAR) AS case_id,
                row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS pos,
                event_type AS activity
-        FROM events""",
+        FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL""",
     "conversations": """
         SELECT 'all' AS model_id, CAST(conv_id AS VARCHAR) AS case_id,
                row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role AS activity
@@ -192,6 +192,24 @@ def _discovery(log: str, variant: str) -> str:
     return _sql(_kept(log, **PARAMS[log][variant]), select)
 
 
+def _grid(log: str) -> str:
+    """Every cell of the grid filtered on its own."""
+
+    def cell(alpha: float | None, beta: float | None, gamma: float) -> str:
+        tests = [f"prefix_hit > 0 AND prefix_hit / touched >= {_double(gamma)}"]
+        if beta is not None:
+            tests.append(f"trace_hit > 0 AND trace_hit / touched >= {_double(beta)}")
+        if alpha is not None:
+            tests.append(f"gap <= {_double(alpha)}")
+        shown = [f"CAST({'NULL' if x is None else x} AS DOUBLE) AS {c}" for c, x in zip(["alpha", "beta", "gamma"], (alpha, beta, gamma), strict=True)]
+        return (
+            f"SELECT {', '.join(shown)}, model_id, {A}, {B}, prefix_hit AS hit, touched - prefix_hit AS miss,"
+            f" prefix_hit / touched AS ratio FROM supp JOIN log_level USING (model_id, a_set, b_set) WHERE {' AND '.join(tests)}"
+        )
+
+    return _sql(_checked(log), "\nUNION ALL ".join(cell(*c) for c in GRID))
+
+
 def _funnel(log: str) -> str:
     stages = [("1 candidates", "cand"), ("2 log level", "after_log"), ("3 trace level", "after_trace"), ("4 prefix level", "kept")]
     counted = "\nUNION ALL ".join(
@@ -226,7 +244,7 @@ BLOCK_MERGE = """
     SELECT DISTINCT 'all', node, 'AND', b, 'ACT' FROM pairs, merged"""
 
 
-ROUNDS = 8  # series rounds written out; the fixpoint needs fewer on these tables
+ROUNDS = 8  # series rounds written out; the result is an error if the last one still changed an edge
 
 
 def _series_round(edges: str, i: int) -> list[tuple[str, str]]:
@@ -263,7 +281,10 @@ def _reduced(log: str) -> list[tuple[str, str]]:
     ctes, edges = _expanded(log), "gw"
     for i in range(1, ROUNDS + 1):
         ctes, edges = ctes + _series_round(edges, i), f"gw{i}"
-    return ctes
+    return ctes + [
+        ("open", f"SELECT count(*) AS n FROM head{ROUNDS}"),
+        ("gw_end", f"SELECT * FROM gw{ROUNDS} WHERE CASE WHEN (SELECT n FROM open) > 0 THEN error('more rounds are needed') ELSE true END"),
+    ]
 
 
 def _blocks(edges: str) -> list[tuple[str, str]]:
@@ -440,7 +461,7 @@ FUZZY = """
 
 
 def _model(log: str) -> list[tuple[str, str]]:
-    return _reduced(log) + _labelled(f"gw{ROUNDS}") + [
+    return _reduced(log) + _labelled("gw_end") + [
         (
             "model",
             f"""
@@ -451,7 +472,7 @@ def _model(log: str) -> list[tuple[str, str]]:
 
 
 MODEL_LINES = """
-    SELECT DISTINCT model_id, CAST(0 AS INTEGER) AS section, 'digraph G { node [style=filled,shape=box];' AS line FROM model
+    SELECT DISTINCT model_id, CAST(0 AS INTEGER) AS section, 'digraph model { node [shape=box, style=rounded]' AS line FROM model
     UNION ALL SELECT DISTINCT model_id, 4, '}' FROM model
     UNION ALL SELECT model_id, 1, '"' || node || '" [shape=diamond,label="' || kind || '"];'
     FROM nodes WHERE kind <> 'ACT'
@@ -510,6 +531,7 @@ ORACLE: dict[str, str] = {
         " FROM dfg GROUP BY model_id, src",
     ),
     "dfg_text_roundtrip": _sql(_dfg("lineitem"), "SELECT * FROM dfg"),
+    "segmented_dfg_text_roundtrip": _sql(_dfg("orders"), "SELECT * FROM dfg"),
     "dfg_from_text": _sql(_dfg("events_day"), "SELECT * FROM dfg"),
     "adjacency_list": _sql(
         _dfg("events_day"),
@@ -531,6 +553,11 @@ ORACLE: dict[str, str] = {
         f"SELECT model_id, {A}, {B}, n_a, n_b, gap FROM log_level"
         f" WHERE gap <= {_double(PARAMS['lineitem']['2f']['alpha'])}",
     ),
+    "candidates_balanced": _sql(
+        _checked("lineitem"),
+        f"SELECT model_id, {A}, {B}, n_a, n_b, gap FROM log_level"
+        f" WHERE gap <= {_double(PARAMS['lineitem']['2f']['alpha'])}",
+    ),
     "trace_level_check": _sql(_checked("lineitem"), _outcome("trace_hit")),
     "prefix_level_check": _sql(_checked("lineitem"), _outcome("prefix_hit")),
     "trace_level_check_events": _sql(
@@ -546,6 +573,7 @@ ORACLE: dict[str, str] = {
     "discover_1f": _discovery("lineitem", "1f"),
     "discover_2f": _discovery("lineitem", "2f"),
     "discover_segments": _discovery("orders", "2f"),
+    "discovery_grid": _grid("events_day"),
     "discovery_funnel": _funnel("events_day"),
     "discovery_funnel_segments": _funnel("orders"),
     "place_listing": _sql(
@@ -568,7 +596,7 @@ ORACLE: dict[str, str] = {
         _expanded("orders") + _series_round("gw", 1), "SELECT model_id, node, kind, pred, succ FROM ser1"
     ),
     "block_redexes": _sql(_expanded("orders") + _blocks("gw"), "SELECT * FROM redexes"),
-    "series_reduction": _sql(_reduced("orders"), f"SELECT * FROM gw{ROUNDS}"),
+    "series_reduction": _sql(_reduced("orders"), "SELECT * FROM gw_end"),
     "reduce_round": _sql(_expanded("orders") + _reduce_round("gw"), "SELECT * FROM round"),
     "block_round": _sql(_expanded("orders") + _block_round("gw"), "SELECT * FROM round"),
     "block_merge": BLOCK_MERGE,
@@ -584,7 +612,7 @@ ORACLE: dict[str, str] = {
     ),
     # No complete block is left after the series rounds on these tables, so the
     # series fixpoint is the result; a block would show up as a mismatch.
-    "reduced_gateways": _sql(_reduced("lineitem"), f"SELECT * FROM gw{ROUNDS}"),
+    "reduced_gateways": _sql(_reduced("lineitem"), "SELECT * FROM gw_end"),
     "hybrid_model": _sql(_model("lineitem"), "SELECT * FROM model", recursive=True),
     "hybrid_model_segments": _sql(_model("orders"), "SELECT * FROM model", recursive=True),
     "model_text_lines": _sql(_model("events_day"), MODEL_LINES, recursive=True),

@@ -28,3 +28,8 @@ DELTA = 0.5
 
 #: Copies made by log replication.
 COPIES = 3
+
+#: Thresholds (alpha, beta, gamma) that one pass answers together.
+GRID = [
+    (alpha, beta, gamma) for alpha in (None, 0.2, 0.35) for beta in (None, 0.15, 0.2) for gamma in (0.04, 0.08, 0.12)
+]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.logs import LOGS
-from catalog.params import COPIES, DELTA, PARAMS
+from catalog.params import COPIES, DELTA, GRID, PARAMS
 from traceloom import Discovery, Log, discover, log_from_events, log_from_traces, model_from_places
 from traceloom.functions.sequences import set_label
 from traceloom.operators import candidates as places
@@ -136,6 +136,13 @@ def dfg_text_roundtrip(spark, sf_dir):
     return text.read_dfg(spark, path)
 
 
+def segmented_dfg_text_roundtrip(spark, sf_dir):
+    """Graphs of several models as text, a folder each, and the models read back from the folders."""
+    path = new_path(spark, "dfg-text")
+    text.write_dfg(statistics.dfg_of_events(LOGS["orders"](spark, sf_dir)), path)
+    return text.read_dfg(spark, path)
+
+
 def dfg_from_text(spark, sf_dir):
     path = new_path(spark, "log-text")
     text.write_traces(_traces(spark, sf_dir, "events_day"), path)
@@ -179,8 +186,17 @@ def log_level_check(spark, sf_dir):
     return _sets(checks.log_level_check(proposed, totals, alpha))
 
 
+def candidates_balanced(spark, sf_dir):
+    """Candidates of the bounded enumeration that reach the log level."""
+    totals = materialize(statistics.activity_counts(LOGS["lineitem"](spark, sf_dir)), "totals")
+    alpha = PARAMS["lineitem"]["2f"]["alpha"]
+    proposed = places.balanced_candidates(_dfg(spark, sf_dir, "lineitem"), totals, alpha)
+    return _sets(checks.log_level_check(proposed, totals, alpha))
+
+
 def trace_level_check(spark, sf_dir):
-    return _sets(checks.trace_level_check(_support(spark, sf_dir, "lineitem")))
+    """Hits at the ends of traces, from bags alone."""
+    return _sets(checks.trace_level_check(checks.trace_support(*_log_candidates(spark, sf_dir, "lineitem"))))
 
 
 def prefix_level_check(spark, sf_dir):
@@ -217,6 +233,11 @@ def discover_segments(spark, sf_dir):
     return _sets(_discovery(spark, sf_dir, "orders", "2f").kept)
 
 
+def discovery_grid(spark, sf_dir):
+    """Kept places for each cell of a grid of thresholds, from one pass over the log."""
+    return _sets(discovery.discover_grid(_log(spark, sf_dir, "events_day"), GRID))
+
+
 def discovery_funnel(spark, sf_dir):
     return discovery.funnel(_discovery(spark, sf_dir, "events_day", "2f"))
 
@@ -366,6 +387,7 @@ QUERIES: dict[str, Query] = {
         segmented_dfg,
         dfg_adjacency_lines,
         dfg_text_roundtrip,
+        segmented_dfg_text_roundtrip,
         dfg_from_text,
         adjacency_list,
         successor_subsets,
@@ -374,6 +396,7 @@ QUERIES: dict[str, Query] = {
         candidates_join,
         candidates_all,
         log_level_check,
+        candidates_balanced,
         trace_level_check,
         prefix_level_check,
         trace_level_check_events,
@@ -383,6 +406,7 @@ QUERIES: dict[str, Query] = {
         discover_1f,
         discover_2f,
         discover_segments,
+        discovery_grid,
         discovery_funnel,
         discovery_funnel_segments,
         place_listing,

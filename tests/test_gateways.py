@@ -214,7 +214,7 @@ def test_model_text(spark):
     path = new_path(spark, "model")
     text.write_model(model, path)
     lines = [r.value for r in spark.read.text(path + "/model_id=all").collect()]
-    assert lines[0] == "digraph G { node [style=filled,shape=box];" and lines[-1] == "}"
+    assert lines[0] == "digraph model { node [shape=box, style=rounded]" and lines[-1] == "}"
     assert '"z" -> "a" [color=black,label="9"];' in lines
     assert '"AndS:a" [shape=diamond,label="AND"];' in lines
     assert any('\\"x"' in line and "color=purple" in line for line in lines)

@@ -21,33 +21,29 @@ def fuzzy_arcs(dfg: DataFrame, places: DataFrame) -> DataFrame:
 def gateway_reach(edges: DataFrame, forward: bool) -> DataFrame:
     """Activities each gateway leads to (or comes from) through gateways only.
 
-    `model_id, node, kind, activity`. The frontier of gateways still to be
-    passed advances one edge per round and is cut down to pairs not seen before.
+    `model_id, node, kind, activity`. Known reach is joined with itself, so each
+    round passes twice as many gateways: a chain of n takes about log2(n) rounds.
     """
+    ends = ("model_id", "node", "kind", "next", "next_kind")
     if forward:
-        step = edges.toDF("model_id", "via", "via_kind", "next", "next_kind")
+        step = edges.toDF(*ends)
     else:
-        step = edges.toDF("model_id", "next", "next_kind", "via", "via_kind")
-    start = step.where(F.col("via_kind") != ACT)
-    pair = ["model_id", "node", "kind", "next", "next_kind"]
-    reached = materialize(
-        start.select("model_id", F.col("via").alias("node"), F.col("via_kind").alias("kind"), "next", "next_kind"),
-        "reach",
-    )
-    seen = reached
+        step = edges.toDF("model_id", "next", "next_kind", "node", "kind").select(*ends)
+    seen = materialize(step.where(F.col("kind") != ACT).distinct(), "reach")
     while True:
-        frontier = (
-            reached.where(F.col("next_kind") != ACT)
-            .select("model_id", "node", "kind", F.col("next").alias("via"), F.col("next_kind").alias("via_kind"))
-            .join(start, ["model_id", "via", "via_kind"])
-            .select(*pair)
+        onward = seen.toDF("model_id", "via", "via_kind", "next", "next_kind")
+        further = (
+            seen.where(F.col("next_kind") != ACT)
+            .withColumnsRenamed({"next": "via", "next_kind": "via_kind"})
+            .join(onward, ["model_id", "via", "via_kind"])
+            .select(*ends)
             .distinct()
-            .join(seen, pair, "left_anti")
+            .join(seen, list(ends), "left_anti")
         )
-        reached = materialize(frontier, "reach")
-        if reached.isEmpty():
+        further = materialize(further, "reach")
+        if further.isEmpty():
             break
-        seen = seen.unionByName(reached)
+        seen = materialize(seen.unionByName(further), "reach")
     return seen.where(F.col("next_kind") == ACT).select(
         "model_id", "node", "kind", F.col("next").alias("activity")
     )

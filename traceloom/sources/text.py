@@ -23,6 +23,9 @@ ARC_PATTERN = r"\(([^,]*),([0-9]+)\)"
 ARC_FORMAT = "(%s,%d)"
 
 
+#: The folder Spark writes for an empty name (fixed value).
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+
 # Where a line stands: Spark numbers the lines of a block in reading order.
 LINE_ORDER = ["file", "block", "line"]
 
@@ -48,13 +51,11 @@ def read_traces(
 ) -> DataFrame:
     """Read a text log; `partitions` asks for at least that many.
 
-    Large files are split further when read. Only a log too small for that many
-    splits is dealt out anew.
+    Files are split as the session's settings say, and these are left as they are; a
+    log that comes in fewer splits is dealt out anew.
 
     `line_order` adds columns (`LINE_ORDER`) that sort the traces as in the files.
     """
-    if partitions:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(partitions))
     lines = spark.read.text(path)
     if line_order:
         lines = lines.select(
@@ -110,28 +111,43 @@ def adjacency_lines(dfg: DataFrame) -> DataFrame:
 
 
 def write_dfg(dfg: DataFrame, path: str) -> None:
-    """Write the graph of one model as text; the form has no place for several."""
-    if dfg.select("model_id").distinct().limit(2).count() > 1:
-        raise ValueError("the text form holds one model: choose one by model_id")
-    adjacency_lines(dfg).select("value").write.text(path)
+    """Write the graphs of all models as text, a folder `model_id=...` for each.
+
+    `dfg` is evaluated once; `read_dfg` finds the models again by their folders.
+    """
+    adjacency_lines(dfg).select("model_id", "value").write.partitionBy("model_id").text(path)
 
 
 def parse_dfg(lines: DataFrame, model_id: str = ALL) -> DataFrame:
-    """Adjacency lines (`value`) as `model_id, src, dst, n`."""
+    """Adjacency lines (`value`) as `model_id, src, dst, n`; lines may name their `model_id`."""
 
     def captured(group: int) -> Column:
         return F.regexp_extract_all("value", F.lit(ARC_PATTERN), F.lit(group))
 
     arcs = F.arrays_zip(captured(1).alias("dst"), captured(2).alias("n"))
+    model = F.col("model_id") if "model_id" in lines.columns else F.lit(model_id).alias("model_id")
     return lines.select(
-        F.lit(model_id).alias("model_id"),
+        model,
         F.substring_index("value", ",", 1).alias("src"),
         F.explode(arcs).alias("arc"),
     ).select("model_id", "src", "arc.dst", F.col("arc.n").cast("bigint").alias("n"))
 
 
 def read_dfg(spark: SparkSession, path: str, model_id: str = ALL) -> DataFrame:
-    return parse_dfg(spark.read.text(path), model_id)
+    """Graphs of the models that have a folder below `path`; lines without one belong to `model_id`.
+
+    Names of models stay text, as they were written: the folder `model_id=01` is the model 01.
+    """
+
+    def decoded(name: Column) -> Column:
+        return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/model_id=([^/]*)/[^/]*$", 1)
+    # Spark escapes a name in its folder, and the folder in the path; an empty name has a folder of its own.
+    name = decoded(decoded(folder))
+    model = F.when(folder == "", model_id).when(name == NO_NAME, "").otherwise(name)
+    return parse_dfg(lines.select("value", model.alias("model_id")))
 
 
 def _quoted(name: Column) -> Column:
@@ -168,7 +184,7 @@ def model_lines(model: DataFrame) -> DataFrame:
         ).alias("line"),
     )
     frame = F.array(
-        F.struct(F.lit(0).alias("section"), F.lit("digraph G { node [style=filled,shape=box];").alias("line")),
+        F.struct(F.lit(0).alias("section"), F.lit("digraph model { node [shape=box, style=rounded]").alias("line")),
         F.struct(F.lit(4).alias("section"), F.lit("}").alias("line")),
     )
     models = model.select("model_id").distinct()
