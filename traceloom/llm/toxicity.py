@@ -3,12 +3,13 @@
 Each text is the set of its lower-cased character n-grams, hashed. Features are
 multiplied by their naive Bayes log-count ratios, so a logistic regression
 starts from what the classes' counts say and only corrects it. The fit reads a
-bounded sample of labelled texts; scoring is one pass without a shuffle.
+bounded sample of labelled texts; its gradients are summed in tasks, and the driver
+holds a few vectors of one number a feature. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,10 @@ FEATURES = 20_000
 SMOOTHING = 1.0
 LEAST_TEXTS = 3
 STRENGTH = 1e-3
-ROUNDS = 250
+#: Most steps of the fit, and the length of the slope at which it ends; steps remembered.
+ROUNDS, TOLERANCE, MEMORY = 40, 1e-4, 8
+#: Tasks that share the labelled sample.
+SPREAD = 12
 
 #: Characters worked on at a time.
 _BLOCK = 1 << 19
@@ -119,37 +123,100 @@ def _ratios(counts: DataFrame) -> DataFrame:
         .select("bucket", ratio.alias("ratio"), (F.abs(ratio) / F.sqrt(1 / pos + 1 / neg)).alias("z"))
         .orderBy(F.desc("z"), "bucket")
         .limit(FEATURES)
+        .select("bucket", "ratio")
     )
 
 
-def _regress(row: np.ndarray, column: np.ndarray, labels: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on ratio-scaled features, by accelerated gradient descent."""
-    n, k = len(labels), len(ratios)
-    share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
+def _design(sample: DataFrame, buckets: np.ndarray) -> DataFrame:
+    """`places, label`: which of the features each text has, as packed 32-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = np.zeros(1 << BITS, bool)
+        only[buckets] = True
+        for batch in batches:
+            out = []
+            for _, offsets, found in grams(batch.column(0).to_pylist(), only):
+                places = np.searchsorted(buckets, found).astype(np.int32)
+                out += [places[offsets[i] : offsets[i + 1]].tobytes() for i in range(len(offsets) - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["places", "label"])
+
+    return sample.select("text", "label").mapInArrow(run, "places BINARY, label INT")
 
-    def ahead(v: np.ndarray) -> np.ndarray:
-        return np.bincount(row, (ratios * v[:k])[column], n) + v[k]
 
-    def back(e: np.ndarray) -> np.ndarray:
-        return np.append(ratios * np.bincount(column, e[row], k), e.sum())
+def _loss(design: DataFrame, ratios: np.ndarray, share: dict[int, float], w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Logistic loss at `w` (a weight a feature, and the bias) and its gradient.
 
-    v = np.ones(k + 1)
-    for _ in range(15):  # largest curvature
-        v = back(share * ahead(v))
-        top = np.linalg.norm(v)
-        v /= top
-    step = 1 / (0.25 * top * 1.05 + STRENGTH)
-    w = np.zeros(k + 1)
-    ahead_of, t = w, 1.0
+    Every task sums over its texts; the driver adds one vector a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(ratios)
+        scaled, loss, gradient = ratios * w[:k], 0.0, np.zeros(k + 1)
+        for batch in batches:
+            labels = batch.column(1).to_numpy()
+            data, offsets = batch.column(0).buffers()[2], np.frombuffer(batch.column(0).buffers()[1], np.int32)
+            offsets = offsets[batch.column(0).offset :][: len(labels) + 1] // 4
+            places = np.frombuffer(data or b"", np.int32)
+            for i in range(0, len(labels), 256):  # a few texts at a time
+                cut = offsets[i : i + 257]
+                own = places[cut[0] : cut[-1]]
+                row = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+                y = labels[i : i + 256].astype(float)
+                ahead = np.clip(np.bincount(row, scaled[own], len(y)) + w[k], -40, 40)
+                each = np.where(y == 1, share[1], share[0])
+                loss += float(each @ (np.log1p(np.exp(ahead)) - y * ahead))
+                error = each * (1 / (1 + np.exp(-ahead)) - y)
+                gradient[:k] += np.bincount(own, error[row], k)
+                gradient[k] += error.sum()
+        gradient[:k] *= ratios
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([gradient.tobytes()], pa.binary())], ["loss", "gradient"])
+
+    parts = design.mapInArrow(run, "loss DOUBLE, gradient BINARY").toArrow()
+    loss, gradient = 0.0, np.zeros(len(w))
+    for value, part in zip(parts["loss"].to_pylist(), parts["gradient"], strict=True):
+        loss += value
+        gradient += np.frombuffer(part.as_buffer(), np.float64)
+    loss += STRENGTH / 2 * float(w[:-1] @ w[:-1])
+    gradient[:-1] += STRENGTH * w[:-1]
+    return loss, gradient
+
+
+def _minimum(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int) -> np.ndarray:
+    """Where a smooth convex function is smallest: limited-memory quasi-Newton steps from 0.
+
+    Keeps the last `MEMORY` steps; a step that does not lower the function enough is halved.
+    """
+    w = np.zeros(size)
+    value, slope = loss(w)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-np.clip(ahead(ahead_of), -40, 40)))
-        gradient = back(share * (p - labels))
-        gradient[:k] += STRENGTH * ahead_of[:k]
-        new = ahead_of - step * gradient
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead_of = new + (t - 1) / t_new * (new - w)
-        w, t = new, t_new
-    return w[:k], float(w[k])
+        if np.linalg.norm(slope) < TOLERANCE:
+            break
+        way, weights = slope.copy(), []
+        for s, y in reversed(steps):
+            weights.append(s @ way / (s @ y))
+            way -= weights[-1] * y
+        if steps:
+            s, y = steps[-1]
+            way *= s @ y / (y @ y)
+        else:
+            way /= np.linalg.norm(slope)
+        for (s, y), weight in zip(steps, reversed(weights), strict=True):
+            way += (weight - y @ way / (s @ y)) * s
+        length = 1.0
+        while True:
+            new = w - length * way
+            new_value, new_slope = loss(new)
+            if new_value <= value - 1e-4 * length * (slope @ way) or length < 1e-6:
+                break
+            length /= 2
+        if new_value >= value:
+            break
+        s, y = new - w, new_slope - slope
+        w, value, slope = new, new_value, new_slope
+        if s @ y > 1e-12:
+            steps = [*steps[1 - MEMORY :], (s, y)]
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -166,29 +233,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # At most 12,000 rows of 12 bytes.
     few = F.broadcast(materialize(chosen[0].union(chosen[1]), "labelled"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(few, "doc_id")
-    sample = materialize(texts.select("text", "label"), "sample")
+    # The sample is dealt out evenly: wherever its texts lay, all tasks share the work on them.
+    sample = materialize(texts.select("text", "label").repartition(SPREAD), "sample")
     sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return Model(np.empty(0, np.int64), np.empty(0), 40.0 if 1 in sizes else -40.0)
-    chosen_features = sorted(((r.bucket, r.ratio) for r in _ratios(_counts(sample)).collect()))
-    buckets = np.array([b for b, _ in chosen_features], np.int64)
-    ratios = np.array([r for _, r in chosen_features])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = np.zeros(1 << BITS, bool)
-        only[buckets] = True
-        for batch in batches:
-            out = []
-            for _, offsets, found in grams(batch.column(0).to_pylist(), only):
-                places = np.searchsorted(buckets, found).astype(np.int32)
-                out += [places[offsets[i] : offsets[i + 1]].tobytes() for i in range(len(offsets) - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["places", "label"])
-
-    rows = sample.mapInArrow(run, "places BINARY, label INT").orderBy(F.xxhash64("places")).collect()
-    places = [np.frombuffer(r.places, np.int32) for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in places])
-    coefficients, bias = _regress(row, np.concatenate(places), np.array([r.label for r in rows], float), ratios)
-    return Model(buckets, coefficients * ratios, bias)
+    found = _ratios(materialize(_counts(sample), "counts")).toArrow()
+    order = np.argsort(found["bucket"].to_numpy())
+    buckets, ratios = found["bucket"].to_numpy()[order], found["ratio"].to_numpy()[order]
+    # Sums are taken in one order, whatever the order in which the sample was dealt out.
+    design = materialize(_design(sample, buckets).sortWithinPartitions("label", "places"), "design")
+    share = {y: 0.5 / n for y, n in sizes.items()}
+    w = _minimum(lambda at: _loss(design, ratios, share, at), len(ratios) + 1)
+    return Model(buckets, w[:-1] * ratios, float(w[-1]))
 
 
 def score(model: Model, text: str = "text") -> Column:
