@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from traceloom.llm import host_rules, licenses, url_filter, warc
@@ -106,6 +107,22 @@ def test_licenses(spark, odd, empty):
     assert [(r.first_word, r.last_word) for r in found] == [(1, len(TOKEN.findall(mit.lower())))]
 
 
+def test_repeated_rows_vote_once(spark, monkeypatch):
+    """Part of a template stays part of it, however many rows hold it and whatever their ids."""
+    text = dict(licenses.TEMPLATES)["mpl-2.0"].split()
+    part, most = " ".join(text[:9]), " ".join(text[:14])
+    rows = [(1, part), (1, part), (2, part), (None, part), (None, part), (3, most), (3, most), (3, None), (None, most)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").withColumn("h1", F.lit(1))
+    for bound in (licenses.BROADCAST_GRAMS, 0):
+        monkeypatch.setattr(licenses, "BROADCAST_GRAMS", bound)
+        out = licenses.scan(docs).collect()
+        assert len(out) == len(rows)
+        assert {(r.labels, r.score) for r in out if r.n_words == 9} == {("", 0.0)}
+        scores = [(r.doc_id, r.labels, r.score) for r in out if r.n_words == 14]
+        assert sorted(scores, key=repr) == [(3, "mpl-2.0", scores[0][2])] * 2 + [(None, "mpl-2.0", scores[0][2])]
+        assert len(licenses.spans(docs).collect()) == 3
+
+
 def test_urls(spark):
     urls = [
         "http://x.NET/a?b#c",

@@ -23,8 +23,10 @@ K = 4
 SHIFT = 3
 #: Share of a template's k-grams that a span must hold.
 LEAST = 0.6
-#: Longest list of template k-grams that is broadcast (24 bytes each).
-MOST_TEMPLATE_GRAMS = 100_000
+#: Template k-grams up to this number are broadcast (about 50 bytes each), more are joined by a shuffle.
+BROADCAST_GRAMS = 100_000
+#: What tells texts apart: 128 bits of hashes.
+KEY, KEYS = ["h1", "h2"], "h1 BIGINT, h2 BIGINT"
 
 #: Phrase and label of the base places.
 PHRASES: tuple[tuple[str, str], ...] = (
@@ -84,9 +86,9 @@ def _phrase_hash(text: str) -> tuple[int, np.uint64]:
 
 
 def base_places(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES) -> DataFrame:
-    """`doc_id, n_words, n_base, first_word, last_word, base` of each row: exact places of phrases."""
+    """`doc_id, h1, h2, n_words, n_base, first_word, last_word, base` of each row: exact places of phrases."""
     wanted = [(*_phrase_hash(text), label) for text, label in phrases]
-    schema = "doc_id BIGINT, n_words BIGINT, n_base BIGINT, first_word BIGINT, last_word BIGINT, base ARRAY<STRING>"
+    schema = f"doc_id BIGINT, {KEYS}, n_words BIGINT, n_base BIGINT, first_word BIGINT, last_word BIGINT, base ARRAY<STRING>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +96,7 @@ def base_places(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES) -
             first = np.full(batch.num_rows, np.iinfo(np.int64).max)
             last = np.full(batch.num_rows, -1)
             labels: list[list[str]] = [[] for _ in range(batch.num_rows)]
-            for low, high, data, offsets in W.blocks(batch.column(1)):
+            for low, high, data, offsets in W.blocks(batch.column(3)):
                 words = W.split(data, offsets, W.PUNCTUATION)
                 n_words[low:high] = words.per_doc()
                 hashes = words.hashes(lower=True)
@@ -112,104 +114,115 @@ def base_places(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES) -
             none = n_base == 0
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[:3],
                     pa.array(n_words),
                     pa.array(n_base),
                     pa.array(first, mask=none),
                     pa.array(last, mask=none),
                     pa.array(labels, pa.list_(pa.string())),
                 ],
-                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base"],
+                ["doc_id", *KEY, "n_words", "n_base", "first_word", "last_word", "base"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return _keyed(docs).mapInArrow(run, schema)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`doc_id, h1, h2, text`: rows with what tells their texts apart, whatever their ids."""
+    text = F.col("text").cast("string")
+    return docs.select(
+        F.col("doc_id").cast("long"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text")
+    )
 
 
 def word_grams(docs: DataFrame, k: int = K) -> DataFrame:
-    """`doc_id, at, gram`: the hash of every k consecutive words, of all rows."""
+    """`h1, h2, at, gram`: the hash of every k consecutive words, of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for low, _, data, offsets in W.blocks(batch.column(1)):
+            for low, _, data, offsets in W.blocks(batch.column(2)):
                 words = W.split(data, offsets, W.PUNCTUATION)
                 at, grams = words.windows(words.hashes(lower=True), k)
                 doc = np.searchsorted(words.first, at, "right") - 1
                 for i in range(0, len(at), 100_000):
                     part = slice(i, i + 100_000)
+                    of = pa.array(low + doc[part])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            ids.take(pa.array(low + doc[part])),
+                            *(column.take(of) for column in batch.columns[:2]),
                             pa.array(at[part] - words.first[doc[part]]),
                             pa.array(W.signed(grams[part])),
                         ],
-                        ["doc_id", "at", "gram"],
+                        [*KEY, "at", "gram"],
                     )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id BIGINT, at BIGINT, gram BIGINT"
-    )
+    return _keyed(docs).drop("doc_id").mapInArrow(run, f"{KEYS}, at BIGINT, gram BIGINT")
 
 
-def spans(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, k: int = K) -> DataFrame:
-    """`doc_id, template, label, first_word, last_word, share`: verified places of templates.
+def _text_spans(docs: DataFrame, templates: Sequence[tuple[str, str]], k: int) -> DataFrame:
+    """`h1, h2, template, label, first_word, last_word, share`: verified places of templates in each text.
 
-    Templates need at least k words. `share` is the share of the template's
-    k-grams that the span holds.
+    A place of a template counts once, however many rows hold the text and
+    however often its k-gram stands in the span.
     """
     rows = []
     for t, (label, text) in enumerate(templates):
         words, hashes = _hashed(text)
         at, grams = words.windows(hashes, k)
         rows += [(t, label, int(a), len(at), int(g)) for a, g in zip(at, W.signed(grams), strict=True)]
-    if len(rows) > MOST_TEMPLATE_GRAMS:
-        raise ValueError(f"{len(rows)} template k-grams are more than may be broadcast")
-    spark = docs.sparkSession
-    places = spark.createDataFrame(rows, "template INT, label STRING, place BIGINT, size BIGINT, gram BIGINT")
-    hits = word_grams(docs, k).join(F.broadcast(places), "gram")
-    diagonals = hits.groupBy("doc_id", "template", "label", "size", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high")
+    places = docs.sparkSession.createDataFrame(rows, "template INT, label STRING, place BIGINT, size BIGINT, gram BIGINT")
+    if len(rows) <= BROADCAST_GRAMS:
+        places = F.broadcast(places)
+    of = [*KEY, "template", "label", "size"]
+    hits = word_grams(docs, k).join(places, "gram").select(*of, "at", "place").distinct()
+    hits = hits.withColumn("diagonal", F.col("at") - F.col("place"))
+    diagonals = hits.groupBy(*of, "diagonal").agg(
+        F.min("at").alias("low"), F.max("at").alias("high"), F.collect_set("place").alias("places")
     )
-    along = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    along = Window.partitionBy(*KEY, "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(along) > SHIFT
-    spans = diagonals.withColumn(
+    numbered = diagonals.withColumn(
         "span", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0))
     )
-    merged = spans.groupBy("doc_id", "template", "label", "size", "span").agg(
-        F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high")
-    )
-    share = F.least(F.col("votes") / F.col("size"), F.lit(1.0))
+    # Covered places of the template, which has few.
+    ends = numbered.groupBy(*of, "span").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    covered = numbered.select(*of, "span", F.explode("places").alias("place")).groupBy(*of, "span")
+    merged = covered.agg(F.count_distinct("place").alias("votes")).join(ends, [*of, "span"])
     return (
-        merged.withColumn("share", share)
+        merged.withColumn("share", F.col("votes") / F.col("size"))
         .where((F.col("share") >= LEAST) & (F.col("high") - F.col("low") < 2 * F.col("size") + k))
         .select(
-            "doc_id",
-            "template",
-            "label",
-            F.col("low").alias("first_word"),
-            (F.col("high") + k - 1).alias("last_word"),
-            "share",
+            *KEY, "template", "label", F.col("low").alias("first_word"), (F.col("high") + k - 1).alias("last_word"), "share"
         )
     )
 
 
+def spans(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, k: int = K) -> DataFrame:
+    """`doc_id, template, label, first_word, last_word, share`: verified places of templates, for every row.
+
+    Templates need at least k words. `share` is the share of the template's
+    k-grams that the span holds.
+    """
+    found = _text_spans(docs, templates, k)
+    return _keyed(docs).drop("text").join(found, KEY).drop(*KEY)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """`doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score` of each row of `docs`.
 
     Words are runs of digits, letters and characters outside ASCII, with A-Z
     lower-cased. `first_word` and `last_word` are null without a base place;
     labels are empty strings where there is none. The score is 1 with a base
-    place, else the share of the best template span, else 0. Rows with equal
-    doc_id (or none) share the labels of their spans.
+    place, else the share of the best template span, else 0. Every row is judged
+    by its own text: repeated rows and rows without an id are rows like others.
     """
     found = (
-        spans(docs)
-        .groupBy(F.col("doc_id").alias("id"))
+        _text_spans(docs, TEMPLATES, K)
+        .groupBy(*KEY)
         .agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
     )
-    base = base_places(docs)
     every = F.array_union("base", F.coalesce("found", F.array().cast("array<string>")))
-    return base.join(found, base.doc_id.eqNullSafe(found.id), "left").select(
+    return base_places(docs).join(found, KEY, "left").select(
         "doc_id",
         "n_words",
         "n_base",
