@@ -61,3 +61,26 @@ def test_odd_rows(spark, odd, empty):
     assert {(r.doc_id, r.item_id) for r in leaks(odd, benchmark).collect()} == {(12, 12)}
     assert leaks(empty, benchmark).collect() == []
     assert leaks(odd, benchmark.where("false")).collect() == []
+
+
+def test_short_and_common_items(spark):
+    """Copies of short items are found whatever stands around them, and copies in order only."""
+    rng = random.Random(9)
+    often = [f"of{i}" for i in range(12)]
+    prose = lambda n: [rng.choice(often) if rng.random() < 0.5 else f"w{rng.randrange(4000)}" for _ in range(n)]
+    items = [[f"u{n}x{j}" for j in range(n)] for n in (1, 2, 3, 5, 9)]
+    items += [[often[(5 * n + 7 * j * j + j) % 12] for j in range(n)] for n in (10, 12, 15)]
+    docs, want = [], set()
+    for i in range(120):
+        w = prose(rng.choice([20, 300]))
+        if i % 2:
+            k = (i // 2) % len(items)
+            at = rng.randrange(len(w))
+            w[at:at] = items[k]
+            want.add((i, k))
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING").repartition(3)
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id BIGINT, text STRING")
+    rows = leaks(df, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in rows if r.share == 1} == want
+    assert {(r.doc_id, r.item_id) for r in rows if r.item_id < 5} == {x for x in want if x[1] < 5}

@@ -7,6 +7,9 @@ passage reaches `NEAR` there is a candidate. A candidate is confirmed by the
 longest common subsequence of words around the window, and for paraphrases by
 the passage's ending, its answer.
 
+Passages of fewer than `SHORT` words, which no window's cosine need show, are also
+found by their first words, so that every copy of theirs is.
+
 Passages are dealt into blocks of about `BLOCK` with a space of their own, so a
 space keeps all directions of its passages. `AT_ONCE` blocks meet the corpus in
 one pass; further ones take further passes.
@@ -43,6 +46,10 @@ COPY = 0.7
 #: The same for a paraphrase, which must have the passage's last words together.
 PARAPHRASE = 0.5
 ANSWER = 4
+#: Passages of fewer words weigh too little beside the other words of a window: they
+#: are also looked up by their first `FIRST` words (all, if fewer), and compared in order
+#: with as many words and `SLACK` more.
+SHORT, FIRST, SLACK = WINDOW // 2, 4, 4
 
 FOUND = "doc_id BIGINT, item_id BIGINT, at INT, cosine DOUBLE, share DOUBLE, answer BOOLEAN"
 
@@ -231,7 +238,52 @@ def _near(space: Space, scaled: np.ndarray, place: np.ndarray, starts: np.ndarra
         yield window[positive] + low, passage[positive], hit[positive]
 
 
-def _search(docs: DataFrame, spaces: list[Space], idf: np.ndarray) -> DataFrame:
+@dataclass
+class Short:
+    """Passages too short to stand out in a window: they are looked up by their first words.
+
+    `first[k]`: sorted hashes of the first k words, and the passage of each.
+    """
+
+    first: dict[int, tuple[np.ndarray, np.ndarray]]
+    items: list[int | None]
+    words: list[np.ndarray]
+
+    def places(self, words: W.Words, hashes: np.ndarray) -> Iterator[tuple[int, int, int, float, bool]]:
+        """Document, passage, word, share and answer of copies; of a passage in a document none after a whole one."""
+        whole = set()
+        for k, (wanted, passage) in self.first.items():
+            at, grams = words.windows(hashes, k)
+            low, high = np.searchsorted(wanted, grams, "left"), np.searchsorted(wanted, grams, "right")
+            for hit in np.flatnonzero(high > low):
+                where = int(at[hit])
+                doc = int(np.searchsorted(words.first, where, "right")) - 1
+                for i in passage[low[hit] : high[hit]].tolist():
+                    if (doc, i) in whole:
+                        continue
+                    item = self.words[i]
+                    span = hashes[where : min(words.first[doc + 1], where + len(item) + SLACK)]
+                    share, answer = common(item, span) / len(item), _holds(span, item[-ANSWER:])
+                    if share >= COPY or share >= PARAPHRASE and answer:
+                        if share == 1:
+                            whole.add((doc, i))
+                        yield doc, i, int(where - words.first[doc]), share, answer
+
+
+def _short(cut: DataFrame) -> Short:
+    """The passages of fewer than `SHORT` words. `cut` holds the passages of a pass."""
+    brief = cut.where(F.length("hashes") < 8 * SHORT).select("item_id", "part", "hashes").orderBy("item_id", "part").collect()
+    words = [np.frombuffer(r.hashes, np.uint64) for r in brief]
+    first: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for k in sorted({min(len(h), FIRST) for h in words}):
+        own = [i for i, h in enumerate(words) if min(len(h), FIRST) == k]
+        grams = np.array([W.rolling(words[i][:k], k)[0] for i in own], np.uint64)
+        order = np.argsort(grams, kind="stable")
+        first[k] = grams[order], np.array(own)[order]
+    return Short(first, [r.item_id for r in brief], words)
+
+
+def _search(docs: DataFrame, spaces: list[Space], short: Short, idf: np.ndarray) -> DataFrame:
     half = WINDOW // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +312,8 @@ def _search(docs: DataFrame, spaces: list[Space], idf: np.ndarray) -> DataFrame:
                 total = np.append(0, np.cumsum(square[bucket]))
                 energy = total[stop] - total[begin]
                 starts = np.append(begin, len(words))
+                for d, i, at, share, answer in short.places(words, hashes):
+                    found.append((first + d, short.items[i], at, 1.0, share, answer))
                 for s, space in enumerate(spaces):
                     for windows, hits, dots in _near(space, scaled[s], rows[s][bucket], starts, joins, energy):
                         length = {w: _norm(bucket[begin[w] : stop[w]], idf) for w in np.unique(windows).tolist()}
@@ -308,7 +362,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = None
     for low in range(0, blocks, AT_ONCE):
         some = cut.where((F.col("block") >= low) & (F.col("block") < low + AT_ONCE))
-        part = _search(docs, _spaces(some, idf, width), idf)
+        # Written before the next pass starts, so that the driver holds the spaces of one pass only.
+        part = materialize(_search(docs, _spaces(some, idf, width), _short(some), idf), "found")
         found = part if found is None else found.union(part)
     best = F.max(F.struct("share", "cosine", (-F.col("at")).alias("back"), "answer")).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best).select(
