@@ -5,6 +5,8 @@ Written for DuckDB over the same tables. Sets are shown as `a+b`.
 
 from __future__ import annotations
 
+import re
+
 from catalog.params import COPIES, DELTA, GRID, PARAMS
 
 RAW = {
@@ -410,6 +412,32 @@ def _block_round(edges: str) -> list[tuple[str, str]]:
     ]
 
 
+LAYERED = """
+    SELECT 'all' AS model_id, l_returnflag AS src, 'ACT' AS src_kind, 'AndS:' || l_returnflag AS dst, 'AND' AS dst_kind FROM lineitem
+    UNION SELECT 'all', 'AndS:' || l_returnflag, 'AND', 'XOR:' || l_linestatus, 'XOR' FROM lineitem
+    UNION SELECT 'all', 'XOR:' || l_linestatus, 'XOR', 'AndJ:' || l_linestatus, 'AND' FROM lineitem
+    UNION SELECT 'all', CAST(l_linenumber AS VARCHAR), 'ACT', 'AndS:' || l_linenumber, 'AND' FROM lineitem
+    UNION SELECT 'all', 'AndS:' || l_linenumber, 'AND', 'AndJ:' || l_linestatus, 'AND' FROM lineitem
+    UNION SELECT 'all', 'AndJ:' || l_linestatus, 'AND', l_linestatus, 'ACT' FROM lineitem"""
+
+BLOCK_ROUNDS = 3  # the last one must find nothing left to do
+
+
+def _block_rounds(graph: str) -> str:
+    """Block rounds one after the other; an error if the last still applies a rule or a series gateway is left."""
+    ctes, edges = [("gw", graph)], "gw"
+    for i in range(1, BLOCK_ROUNDS + 1):
+        own = _block_round(edges)
+        for name, sql in own:
+            for other, _ in own:
+                sql = re.sub(rf"\b{other}\b", f"{other}_{i}", sql)
+            ctes.append((f"{name}_{i}", sql))
+        edges = f"round_{i}"
+    left = f"(SELECT count(*) FROM free_blocks_{BLOCK_ROUNDS}) + (SELECT count(*) FROM ser1)"
+    select = f"SELECT * FROM {edges} WHERE CASE WHEN {left} > 0 THEN error('more rounds are needed') ELSE true END"
+    return _sql(ctes + _series_round(edges, 1), select)
+
+
 def _reach(edges: str) -> list[tuple[str, str]]:
     def walk(frm: str, to: str) -> str:
         return f"""
@@ -601,6 +629,7 @@ ORACLE: dict[str, str] = {
     "block_round": _sql(_expanded("orders") + _block_round("gw"), "SELECT * FROM round"),
     "block_merge": BLOCK_MERGE,
     "block_fixpoint": BLOCK_MERGE,
+    "block_rounds": _block_rounds(LAYERED),
     "gateway_reach": _sql(
         _expanded("orders") + _reach("gw"),
         "SELECT model_id, node, kind, t AS activity, 'forward' AS direction FROM fwd WHERE t_kind = 'ACT'"

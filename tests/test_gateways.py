@@ -4,10 +4,12 @@ import itertools
 
 import pytest
 
+from catalog import queries
 from tests.golden import LOG1, LOG2
 from tests.helpers import dfg_df, edges_df, places_df, rows
 from traceloom import model_from_places
 from traceloom.operators import gateways, labels, reduction
+from traceloom.operators.gateways import gateway_nodes
 from traceloom.session import new_path
 from traceloom.sources import text
 
@@ -220,3 +222,13 @@ def test_model_text(spark):
     assert any('\\"x"' in line and "color=purple" in line for line in lines)
     kinds = ["shape" in x if i else True for i, x in enumerate(lines[:-1])]
     assert kinds == sorted(kinds, reverse=True)
+
+
+def test_a_swap_enables_a_merge(spark):
+    """One block round is not the end of the layered graph."""
+    edges = queries._layered_graph(spark, "/root/testdata/sf0.001")
+    once, fired = reduction.block_round(edges)
+    end = reduction.reduced_gateways(edges)
+    assert fired and set(rows(once)) != set(rows(end)) != set(rows(edges))
+    gates = {r.node for r in gateway_nodes(end).collect()}
+    assert {g.split(":")[0] for g in gates} == {"XOR*", "And*"} and len(gates) == 2
