@@ -232,3 +232,18 @@ def test_a_swap_enables_a_merge(spark):
     assert fired and set(rows(once)) != set(rows(end)) != set(rows(edges))
     gates = {r.node for r in gateway_nodes(end).collect()}
     assert {g.split(":")[0] for g in gates} == {"XOR*", "And*"} and len(gates) == 2
+
+
+def test_nodes_with_equal_activities_share_a_set(spark, monkeypatch):
+    members = [("m", f"XOR{i}", "XOR", a) for i, names in enumerate(["ab", "ba", "a", "abc", "b"]) for a in names]
+    members += [("n", "XOR0", "XOR", "a"), ("n", "XOR0", "XOR", "b"), ("m", "b", "ACT", "b")]
+    df = spark.createDataFrame(members, "model_id STRING, node STRING, kind STRING, activity STRING")
+
+    def sets():
+        return {(r.model_id, r.node): r.set.node for r in labels.shared_sets(df).collect()}
+
+    want = {("m", "XOR0"): "XOR0", ("m", "XOR1"): "XOR0", ("m", "XOR2"): "XOR2", ("m", "XOR3"): "XOR3"}
+    assert sets() == want | {("m", "XOR4"): "XOR4", ("m", "b"): "XOR4", ("n", "XOR0"): "XOR0"}
+    # Hashes that tell nothing apart: sets of equal size are told apart by the proof.
+    monkeypatch.setattr(labels.F, "xxhash64", lambda *columns: labels.F.lit(0).cast("bigint"))
+    assert sets() == want | {("m", "XOR2"): "XOR2", ("m", "XOR4"): "XOR4", ("m", "b"): "b", ("n", "XOR0"): "XOR0"}
