@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -152,3 +153,23 @@ def test_urls(spark):
     judged = url_filter.filter_urls(labelled.selectExpr("label AS page_id", "url"), labelled, rules=())
     assert judged.where("(page_id = 1) <> (verdict = 'block')").count() == 0
     assert url_filter.filter_urls(df.where("false"), labelled).collect() == []
+
+
+def test_long_urls_take_linear_time(spark):
+    """N-grams are those of the whole url, whatever its length; equal urls have equal verdicts."""
+    tails = {n: "/" + "ab𝔘c" * (n // 4) for n in (8, 400, 60_000)}
+    rows = [(n, "http://a.b" + t) for n, t in tails.items()] * 2 + [(None, "http://a.b/"), (1, None)]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING").withColumns({"in_host": F.lit(1), "score": F.lit(2)})
+    cut = url_filter._with_buckets(pages.select("page_id", "url").where("page_id = 400")).first()
+
+    def hashed(kind, text):
+        grams = {text[i : i + n] for n in url_filter.LENGTHS for i in range(len(text) - n + 1)}
+        df = spark.createDataFrame([(g,) for g in grams], "g STRING")
+        return {r[0] for r in df.select(F.pmod(F.xxhash64(F.lit(kind), "g"), F.lit(url_filter.FEATURES))).collect()}
+
+    assert set(cut.buckets) == hashed(0, ".a.b/") | hashed(1, tails[400])
+    out = url_filter.filter_urls(pages, url_filter.labelled_urls(spark)).collect()
+    assert len(out) == len(rows) and len({(r.page_id, r.score, r.verdict) for r in out}) == 5
+    began = time.perf_counter()
+    url_filter._with_buckets(pages.select("page_id", "url")).select(F.size("buckets")).collect()
+    assert time.perf_counter() - began < 60

@@ -119,18 +119,24 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return verdict, name
 
 
-def buckets(host: Column, path: Column) -> Column:
-    """Distinct hashed character n-grams, told apart by host and path."""
+def buckets(characters: dict[int, str]) -> Column:
+    """Distinct hashed character n-grams, told apart by what they are part of.
 
-    def grams(text: Column, n: int, kind: int) -> Column:
-        last = F.length(text) - n
-        starts = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            starts, lambda i: F.pmod(F.xxhash64(F.lit(kind), F.substr(text, i, F.lit(n))), F.lit(FEATURES)).cast("int")
-        )
+    `characters`: columns with the characters of the host (0) and the path (1).
+    Each n-gram reads its elements of the array, so a long url takes time linear in its length.
+    """
+
+    def grams(column: str, n: int, kind: int) -> Column:
+        last = F.size(column) - n
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+        def bucket(i: Column) -> Column:
+            gram = F.concat(*(F.get(F.col(column), i + j) for j in range(n)))
+            return F.pmod(F.xxhash64(F.lit(kind), gram), F.lit(FEATURES)).cast("int")
+
+        return F.transform(starts, bucket)
 
-    parts = [(F.concat(F.lit("."), host, F.lit("/")), 0), (path, 1)]
-    return F.array_distinct(F.concat(*(grams(text, n, kind) for text, kind in parts for n in LENGTHS)))
+    return F.array_distinct(F.concat(*(grams(c, n, kind) for kind, c in characters.items() for n in LENGTHS)))
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
@@ -141,7 +147,11 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
 def _with_buckets(urls: DataFrame) -> DataFrame:
     host, path = host_and_path(F.col("url").cast("string"))
     split = urls.withColumns({"host": host, "path": path})
-    return split.withColumn("buckets", buckets(F.col("host"), F.col("path")))
+    whole = {"in_host": F.concat(F.lit("."), "host", F.lit("/")), "in_path": F.col("path")}
+    every = {name: F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)) for name, text in whole.items()}
+    # Written as columns of their own: an n-gram then reads the array instead of cutting the text again.
+    cut = split.withColumns(every)
+    return cut.withColumn("buckets", buckets({0: "in_host", 1: "in_path"})).drop(*every)
 
 
 def fit(labelled: DataFrame) -> tuple[list[float], float]:
