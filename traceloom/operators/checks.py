@@ -178,7 +178,11 @@ def _trace_tally(log: Log, reading: Readings) -> DataFrame:
 def _occurrences(log: Log) -> list[tuple[DataFrame, list[str], list[str]]]:
     """Variants and pieces exploded: `h1, h2, mult, <owner>, pos, activity`, the owner of a
     sequence, and what chains sequences to traces (nothing, or the piece)."""
-    named = log.variants.withColumn("owner", F.monotonically_increasing_id())
+    variants = log.variants
+    if not log.compressed:
+        # Equal sequences are walked once.
+        variants = variants.groupBy("model_id", "activities").agg(F.sum("mult").alias("mult"))
+    named = variants.withColumn("owner", F.monotonically_increasing_id())
     variants = named.select(
         *_bag_key("model_id", F.sort_array("activities")),
         "mult",

@@ -26,10 +26,12 @@ class Log:
               they are not compressed)
     pieces:   `model_id, case_id, piece, activities` - cases too large for a
               row, cut in order; None if the log has no such case
+    compressed: whether every sequence stands in `variants` once
     """
 
     variants: DataFrame
     pieces: DataFrame | None = None
+    compressed: bool = True
 
 
 def trace_variants(traces: DataFrame) -> DataFrame:
@@ -52,8 +54,8 @@ def log_from_events(
     split = split_by_size(events, max_case_events)
     variants = materialize(_variants(ordering.traces(split.regular), compress), "variants")
     if split.oversized is None:
-        return Log(variants)
-    return Log(variants, materialize(ordering.pieces(split, max_case_events), "pieces"))
+        return Log(variants, None, compress)
+    return Log(variants, materialize(ordering.pieces(split, max_case_events), "pieces"), compress)
 
 
 def _named(traces: DataFrame) -> DataFrame:
@@ -79,12 +81,12 @@ def log_from_traces(
     variants = materialize(_variants(traces.where(~large), compress), "variants")
     oversized = traces.where(large)
     if oversized.isEmpty():
-        return Log(variants)
+        return Log(variants, None, compress)
     cut = oversized.select(
         *CASE,
         F.posexplode(chunks(F.col("activities"), max_case_events)).alias("piece", "activities"),
     )
-    return Log(variants, materialize(cut.withColumn("piece", F.col("piece").cast("bigint")), "pieces"))
+    return Log(variants, materialize(cut.withColumn("piece", F.col("piece").cast("bigint")), "pieces"), compress)
 
 
 def models(log: Log) -> DataFrame:
