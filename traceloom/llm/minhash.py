@@ -254,7 +254,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
         .agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first(F.struct("a", "b", "minima")).alias("s"))
         .select("h1", "h2", "n_shingles", "one.*", "s.*")
     )
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # Classes are numbered in the order of their smallest ids: the first of a bucket, which all
+    # others meet, is then its oldest document, whose copies are nearer to it than to each other.
+    ordered = classes.orderBy("doc_id", "h1", "h2", "n_shingles")
+    classes = materialize(ordered.withColumn("node", F.monotonically_increasing_id()), "classes")
     tables = (
         classes.select("node", "b", F.posexplode("a").alias("i", "u"))
         .select("node", "i", "u", F.posexplode("b").alias("j", "v"))
