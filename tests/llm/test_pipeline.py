@@ -13,12 +13,12 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def test_registered():
     assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
-    assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in QUERIES} and "pipeline" in QUERIES
+    assert {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in QUERIES} and "pipeline" in QUERIES
 
 
 def test_sql(spark):
     duck = duckdb.connect()
-    for name in ["documents", "pages"]:
+    for name in ["documents", "pages", "embeddings"]:
         duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
     for name, sql in ORACLE.items():
         out = QUERIES[name](spark, SF_DIR)

@@ -45,6 +45,29 @@ def test_a_failing_host_takes_its_documents(spark):
     assert not out[2000].host_failed or out[2000].base_failed
 
 
+def test_a_host_is_judged_against_the_mean_host(spark):
+    """Failures well above the mean reject a host among clean ones; one of two in a tiny host weighs less."""
+    good = " ".join(f"w{i}" for i in range(80))
+    hosts = {f"h{k}": (100, 1) for k in range(30)} | {"worse": (100, 25), "tiny": (2, 1)}
+    rows = [(len(hosts) * i + k, good if i >= bad else "short", h) for k, (h, (n, bad)) in enumerate(hosts.items()) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING").withColumn("host", F.lit("clash"))
+    measured = host_rules.measures(docs)
+    found = {r.host: r for r in host_rules.host_verdicts(measured).collect()}
+    assert found["worse"].host_failed and not any(found[f"h{k}"].host_failed for k in range(30))
+    n, k = 100, 25
+    rates = [bad / n for n, bad in hosts.values()]
+    mean = sum(rates) / len(rates)
+    variance = sum((x - mean) ** 2 for x in rates) / len(rates)
+    drawn = mean * (1 - mean) * sum(1 / n for n, _ in hosts.values()) / len(rates)
+    strength = max(mean * (1 - mean) / max(variance - drawn, 1e-9) - 1, 1.0)
+    assert abs(found["worse"].rate_short - (k + mean * strength) / (n + strength)) < 1e-9
+    assert found["tiny"].rate_short < 0.5 - 0.05
+    assert not any(r.host_failed for r in host_rules.host_verdicts(measured, margin=0.9).collect())
+    out = host_rules.judge(docs)
+    assert out.where("host_failed").count() == 100 + 2 * found["tiny"].host_failed
+    assert out.where("kept").count() == sum(n - bad for n, bad in hosts.values()) - 75 - found["tiny"].host_failed
+
+
 def test_archive(spark, tmp_path):
     rows = [(1, "http://a/1", "x"), (2, "http://a/2", "x"), (3, "u\r\nX: y", "é"), (4, None, None), (5, "e", ""), (5, "e", ""), (None, "n", "x")]
     pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")

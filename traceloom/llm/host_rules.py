@@ -10,7 +10,9 @@ from traceloom.session import materialize
 SPACE = r"[\x20\x09-\x0D]+"
 VISIBLE = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
-#: A host is rejected if a rule's shrunk failure rate exceeds this.
+#: A host is rejected if a rule's shrunk failure rate exceeds that of the mean host by this,
+MARGIN = 0.05
+#: or if it exceeds this in any case.
 LIMIT = 0.5
 
 #: Name and condition of the rules that hosts are judged by.
@@ -80,12 +82,14 @@ def measures(docs: DataFrame) -> DataFrame:
     return found.select(*numbers, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def host_verdicts(measured: DataFrame) -> DataFrame:
-    """`host, host_failed` of every host that is not null.
+def host_verdicts(measured: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """`host, host_failed` and a shrunk failure rate `rate_<rule>` per rule, of every host that is not null.
 
     For each rule, the hosts' failure rates give a beta prior by their mean and
     variance, less the variance that drawing few documents explains. A host's
     rate is its posterior mean, so a small host needs more than a few failures.
+    A host is rejected if a rate exceeds the mean host's by more than `margin`,
+    or `LIMIT`.
     """
     failed = [F.sum(F.expr(rule).cast("long")).alias(name) for name, rule in RULES.items()]
     hosts = materialize(
@@ -96,29 +100,31 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
         rate = F.col(name) / F.col("docs")
         moments += [F.avg(rate).alias(f"m_{name}"), F.var_pop(rate).alias(f"v_{name}")]
     m = hosts.agg(F.avg(1 / F.col("docs")).alias("few"), *moments).first()
-    rejected = F.lit(False)
-    if m.few is not None:
-        for name in RULES:
-            mean, variance = m[f"m_{name}"], m[f"v_{name}"]
-            drawn = mean * (1 - mean) * m.few
-            spread = max(variance - drawn, 1e-9)
-            strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6)
-            rate = (F.col(name) + mean * strength) / (F.col("docs") + strength)
-            rejected = rejected | (rate > LIMIT)
-    return hosts.select("host", rejected.alias("host_failed"))
+    rejected, rates = F.lit(False), []
+    for name in RULES:
+        mean, variance = m[f"m_{name}"] or 0.0, m[f"v_{name}"] or 0.0  # null without hosts
+        drawn = mean * (1 - mean) * (m.few or 0.0)
+        spread = max(variance - drawn, 1e-9)
+        strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6)
+        rate = (F.col(name) + mean * strength) / (F.col("docs") + strength)
+        rejected = rejected | (rate > min(mean + margin, LIMIT))
+        rates.append(rate.alias(f"rate_{name}"))
+    return hosts.select("host", rejected.alias("host_failed"), *rates)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """`doc_id`, the counts, `base_failed`, `host_failed`, `kept` of each row of `doc_id, text, source`.
+def judge(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """`doc_id`, the counts, `base_failed`, `host_failed`, `kept` and the host's shrunk rates of each row of
+    `doc_id, text, source`.
 
     A document fails by itself if it has under 50 words, or over half of its
-    words repeat. It is kept if it does not fail and its host is not rejected. A
-    document without a host is judged by itself only. Repeated rows count each.
+    words repeat. It is kept if it does not fail and its host is not rejected
+    (see `host_verdicts`). A document without a host is judged by itself only
+    and has null rates. Repeated rows count each.
     """
     measured = materialize(measures(docs), "measures")
     base = F.expr(f"{RULES['short']} OR {RULES['repetitive']}")
     return (
-        measured.join(host_verdicts(measured), "host", "left")
+        measured.join(host_verdicts(measured, margin), "host", "left")
         .withColumn("base_failed", base)
         .select(
             "doc_id",
@@ -130,5 +136,6 @@ def judge(docs: DataFrame) -> DataFrame:
             "base_failed",
             F.coalesce("host_failed", F.lit(False)).alias("host_failed"),
             (~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))).alias("kept"),
+            *[F.round(f"rate_{name}", 6).alias(f"rate_{name}") for name in RULES],
         )
     )

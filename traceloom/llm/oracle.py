@@ -78,12 +78,14 @@ moments AS (SELECT r, avg(k / docs) AS m, var_pop(k / docs) AS v, avg(1 / docs)
 priors AS (
   SELECT r, m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * few, 1e-9) - 1, 1), 1e6) AS s FROM moments),
 verdicts AS (
-  SELECT host, bool_or((k + m * s) / (docs + s) > 0.5) AS failed
-  FROM rules JOIN priors ON rules.r = priors.r GROUP BY host)
+  SELECT host, bool_or(p > least(m + 0.05, 0.5)) AS failed, list(round(p, 6) ORDER BY r) AS rates
+  FROM (SELECT host, rules.r, m, (k + m * s) / (docs + s) AS p FROM rules JOIN priors ON rules.r = priors.r)
+  GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   coalesce(failed, false) AS host_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(failed, false) AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(failed, false) AS kept,
+  rates[1] AS rate_short, rates[2] AS rate_repetitive, rates[3] AS rate_symbols, rates[4] AS rate_lines
 FROM measured m LEFT JOIN verdicts v ON m.host = v.host
 """
 
