@@ -87,6 +87,10 @@ def test_archive(spark, tmp_path):
         size = int(re.search(rb"Content-Length: (\d+)", head)[1])
         assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and body[size:] == b"\r\n\r\n"
         assert b"X: y" not in head.split(b"\r\n")
+    whole = Counter((r.page_id, bytes(r.record)) for r in warc.records(warc.read_archive(spark, path)).collect())
+    light = warc.read_archive(spark, path, revisits=False)
+    assert Counter((r.page_id, bytes(r.record)) for r in warc.records(light).collect()) == whole
+    assert light.where("payload IS NULL").count() == 3
     large = {r.record_type for r in warc.archived(pages, least_bytes=9).collect()}
     assert large == {"response"}
     assert warc.archived(pages.where("false")).collect() == []
@@ -102,6 +106,33 @@ def test_damaged_archive_is_refused(spark, tmp_path):
         warc.read_archive(spark, str(tmp_path / "c")).collect()
 
 
+def test_headers_are_checked(spark, tmp_path):
+    """A header whose payload is gone, or is another one, is refused, also where only headers are read."""
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "v", "y")], "page_id BIGINT, url STRING, html STRING")
+    path = str(tmp_path / "a")
+    warc.write_archive(pages, path)
+    payloads, headers = spark.read.parquet(f"{path}/payloads"), spark.read.parquet(f"{path}/headers")
+    payloads.limit(1).write.parquet(str(tmp_path / "gone/payloads"))
+    headers.write.parquet(str(tmp_path / "gone/headers"))
+    payloads.write.parquet(str(tmp_path / "other/payloads"))
+    swapped = headers.join(headers.select(F.col("page_id").alias("p"), F.col("sha256").alias("s")), F.col("page_id") != F.col("p"))
+    swapped.select("page_id", F.col("s").alias("sha256"), "header").write.parquet(str(tmp_path / "other/headers"))
+    for name, message in [("gone", "missing or damaged"), ("other", "another payload")]:
+        for read in (warc.read_headers, warc.read_archive):
+            with pytest.raises(Exception, match=message):
+                read(spark, str(tmp_path / name)).collect()
+
+
+def test_odd_pages(spark):
+    """Very long and repeated html, extra columns with names the operator uses."""
+    rows = [(1, "u", "é" * 2_000_000)] + [(i, None, "same") for i in range(2, 60)]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING").withColumns({"sha256": F.lit("x"), "bytes": F.lit(1)})
+    out = {r.page_id: r for r in warc.archived(pages).collect()}
+    assert out[1].payload_bytes == 4_000_000 and out[1].record_type == "response"
+    assert sorted(i for i, r in out.items() if r.record_type == "response") == [1, 59]
+    assert {r.refers_to for r in out.values()} == {None, 59}
+
+
 def base(text):
     w = TOKEN.findall(brute.lower(text))
     places = [(i, label) for phrase, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]

@@ -2,8 +2,8 @@
 
 An archive is two tables below one folder: `headers` with the exact header bytes
 of every record, and `payloads` with each distinct payload once, gzipped, under
-its SHA-256. Records are put together again by a join on the digest, and every
-payload is verified against its address when it is read.
+its SHA-256. Records are put together again by a join on the digest, and each
+payload is verified once against its address when it is read.
 """
 
 from __future__ import annotations
@@ -124,35 +124,71 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     _stored(plain).write.parquet(f"{path}/payloads")
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """`page_id, header, payload` of every record, also of revisits, with verified payloads.
+def verified_payloads(spark: SparkSession, path: str, body: bool = True) -> DataFrame:
+    """`sha256, sha1, bytes` (and the unzipped `payload`) of each stored payload.
 
-    A response's record is `header + payload + END`, a revisit's `header + END`.
-    Reading fails if a payload doesn't have its digests or a header none.
+    Each payload is unzipped and hashed once, however many records share it.
+    Reading fails if a payload does not have its address.
     """
-    joined = spark.read.parquet(f"{path}/headers").join(spark.read.parquet(f"{path}/payloads"), "sha256", "left")
+    stored = spark.read.parquet(f"{path}/payloads").select("sha256", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads = []
-            for digest, header, body in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                payload = None if body is None else zlib.decompress(body, wbits=31)
-                if payload is None or hashlib.sha256(payload).digest() != digest:
+            sha1, size, payloads = [], [], []
+            for digest, packed in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                payload = zlib.decompress(packed, wbits=31)
+                if hashlib.sha256(payload).digest() != digest:
                     raise ValueError(f"payload {digest.hex()} is missing or damaged")
-                if b"sha1:" + base64.b32encode(hashlib.sha1(payload).digest()) not in header:
-                    raise ValueError("a header has another payload's digest")
+                sha1.append(base64.b32encode(hashlib.sha1(payload).digest()).decode())
+                size.append(len(payload))
                 payloads.append(payload)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(payloads, pa.binary())], ["page_id", "header", "payload"]
-            )
+            columns = [batch.column(0), pa.array(sha1, pa.string()), pa.array(size, pa.int64())]
+            names = ["sha256", "sha1", "bytes"]
+            if body:
+                columns.append(pa.array(payloads, pa.binary()))
+                names.append("payload")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select("page_id", "sha256", "header", "body").mapInArrow(
-        run, "page_id BIGINT, header BINARY, payload BINARY"
-    )
+    return stored.mapInArrow(run, "sha256 BINARY, sha1 STRING, bytes BIGINT" + ", payload BINARY" * body)
+
+
+def _matched(headers: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Headers with their payload's columns. Fails where there is none, or it is not the one the header names."""
+    fault = F.when(
+        F.col("sha1").isNull(), F.concat(F.lit("payload "), F.hex("sha256"), F.lit(" is missing or damaged"))
+    ).when(_field("WARC-Payload-Digest") != F.concat(F.lit("sha1:"), F.col("sha1")), "a header has another payload's digest")
+    checked = F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(F.col("header"))
+    return headers.join(payloads, "sha256", "left").withColumn("header", checked)
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """`page_id, header, bytes` of every record, checked against the verified payloads.
+
+    Payloads are read and verified, but only their digests and sizes are joined.
+    """
+    headers = spark.read.parquet(f"{path}/headers")
+    return _matched(headers, verified_payloads(spark, path, body=False)).select("page_id", "header", "bytes")
+
+
+def read_archive(spark: SparkSession, path: str, revisits: bool = True) -> DataFrame:
+    """`page_id, header, payload` of every record, with verified payloads.
+
+    With `revisits`, records that revisit a payload have it too; else theirs is
+    null and no bytes are joined to them. A response's record is
+    `header + payload + END`, a revisit's `header + END`. Reading fails if a
+    payload does not have its digests or a header none.
+    """
+    headers, payloads = spark.read.parquet(f"{path}/headers"), verified_payloads(spark, path)
+    if revisits:
+        return _matched(headers, payloads).select("page_id", "header", "payload")
+    again = _field("WARC-Type") == "revisit"
+    light = _matched(headers.where(again), payloads.drop("payload")).withColumn("payload", F.lit(None).cast("binary"))
+    full = _matched(headers.where(~again), payloads)
+    return full.select("page_id", "header", "payload").unionByName(light.select("page_id", "header", "payload"))
 
 
 def records(archive: DataFrame) -> DataFrame:
-    """`page_id, record`: the records' exact bytes."""
+    """`page_id, record`: the records' exact bytes, of what `read_archive` gives."""
     tail = F.when(_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return archive.select("page_id", F.concat("header", tail, F.lit(END)).alias("record"))
 
@@ -169,9 +205,9 @@ def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     path = new_path(pages.sparkSession, "warc")
     write_archive(pages, path, least_bytes)
     refers = F.regexp_extract(_field("WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1)
-    return read_archive(pages.sparkSession, path).select(
+    return read_headers(pages.sparkSession, path).select(
         F.regexp_extract(_field("WARC-Record-ID"), r"^<urn:page:(-?\d+)>$", 1).try_cast("long").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.col("bytes").alias("payload_bytes"),
         F.regexp_extract(_field("WARC-Payload-Digest"), r"^sha1:(\w+)$", 1).alias("payload_digest"),
         _field("WARC-Type").alias("record_type"),
         refers.try_cast("long").alias("refers_to"),
