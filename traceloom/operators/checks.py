@@ -198,44 +198,61 @@ def _occurrences(log: Log) -> list[tuple[DataFrame, list[str], list[str]]]:
     return out
 
 
+def _walk() -> tuple[Column, Column]:
+    """`fin, low`: balance at the end of `path` and the lowest on the way, for the members' signs `s0..` in `signs`."""
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("fin"), zero.alias("low"))
+
+    def step(at: Column, i: Column) -> Column:
+        balance = at["fin"] + F.get("signs", i)
+        return F.struct(balance.alias("fin"), F.least(at["low"], balance).alias("low"))
+
+    walked = F.aggregate("path", start, step)
+    return walked["fin"], walked["low"]
+
+
 def _prefix_hits(log: Log, reading: Readings, walked: DataFrame) -> DataFrame:
     """`place_id, prefix_hit` of the places `walked` (`place_id`).
 
-    Only bags in which a place is balanced are walked: a running balance over the
-    occurrences of its activities, in order. Oversized cases are walked piece by
-    piece; a piece starts from the balance that the pieces before it leave.
+    Only bags in which a place is balanced are walked. A sequence is cut down to
+    the members of an activity set once for all places on the set, as a *path*
+    of member numbers; equal paths of a set are counted once and walked once per
+    place. Oversized cases are walked piece by piece; a piece starts from the
+    balance that the pieces before it leave.
     """
     balanced = reading.total(lambda sign: sign) == 0
-    signs = reading.signs.join(walked, "place_id", "left_semi")
-    pairs = materialize(
-        lookup_join(_touched(log, reading), signs, ["set_id"], reading.n_places).where(balanced).select(*BAG, "place_id"),
-        "balanced",
+    kept = reading.signs.join(walked, "place_id", "left_semi")
+    signs = kept.select("place_id", "set_id", F.array(*[f"s{i}" for i in range(reading.width)]).alias("signs"))
+    pairs = lookup_join(_touched(log, reading), kept, ["set_id"], reading.n_places).where(balanced)
+    members = reading.sets.select("set_id", F.posexplode("members").alias("i", "activity"))
+    members = members.withColumn("i", F.col("i").cast("tinyint"))
+    slots = materialize(
+        lookup_join(pairs.select(*BAG, "set_id").distinct(), members, ["set_id"], reading.n_sets * reading.width), "slots"
     )
-    n_pairs = pairs.count()
-    members = place_members(reading.places).join(reading.places, PLACE).select("place_id", "activity", "d")
-    steps = materialize(pairs.join(members, "place_id"), "steps")
-    n_steps = n_pairs * 2 * reading.width  # at most
+    n_slots = slots.count()
     lowest = []
     for occurrences, owner, chain in _occurrences(log):
-        if fits(n_steps):
-            # Each sequence stays in one partition, so that its places need no further exchange.
+        if fits(n_slots):
+            # Each sequence stays in one partition, so that its paths need no further exchange.
             occurrences = occurrences.repartition(*owner)
-        sequence = [*owner, "place_id", *chain]
-        along = Window.partitionBy(*sequence).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        low = (
-            lookup_join(occurrences, steps, [*BAG, "activity"], n_steps)
-            .select(*sequence, "mult", "d", F.sum("d").over(along).alias("balance"))
-            .groupBy(*sequence, "mult")
-            .agg(F.sum("d").alias("fin"), F.min("balance").alias("low"))
+        steps = F.sort_array(F.collect_list(F.struct("pos", "i")))
+        paths = (
+            lookup_join(occurrences, slots, [*BAG, "activity"], n_slots)
+            .groupBy(*owner, "set_id", *chain, "mult")
+            .agg(steps["i"].alias("path"))
         )
+        if not chain:
+            paths = paths.groupBy("set_id", "path").agg(F.sum("mult").alias("mult"))
+        fin, low = _walk()
+        walks = lookup_join(paths, signs, ["set_id"], reading.n_places).withColumns({"fin": fin, "low": low})
         if chain:
             before = Window.partitionBy(*owner, "place_id").orderBy(*chain).rowsBetween(Window.unboundedPreceding, -1)
-            low = (
-                low.withColumn("start", F.coalesce(F.sum("fin").over(before), F.lit(0)))
+            walks = (
+                walks.withColumn("start", F.coalesce(F.sum("fin").over(before), F.lit(0)))
                 .groupBy(*owner, "place_id", "mult")
-                .agg(F.min(F.col("start") + F.col("low")).alias("low"))
+                .agg(F.sum("fin").alias("fin"), F.min(F.col("start") + F.col("low")).alias("low"))
             )
-        lowest.append(low.where(F.col("low") >= 0).select("place_id", "mult"))
+        lowest.append(walks.where("fin = 0 AND low >= 0").select("place_id", "mult"))
     return reduce(DataFrame.unionByName, lowest).groupBy("place_id").agg(F.sum("mult").alias("prefix_hit"))
 
 
